@@ -184,9 +184,7 @@ def _round_trip(batches: Iterator[pa.RecordBatch], path: str, pattern: str, tabl
     for batch in batches:
         data, offsets = flat(batch.column("text"))
         for a, b in slices(offsets):
-            raw = data[offsets[a] : offsets[b]].tobytes()
-            at = (offsets[a : b + 1] - offsets[a]).tolist()
-            ids, counts = encoder.encode([raw[x:y] for x, y in zip(at[:-1], at[1:], strict=True)])
+            ids, counts = encoder.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             ends = np.cumsum(counts)
             hashes, decoded = [], []
             for e, c in zip(ends.tolist(), counts.tolist(), strict=True):
@@ -214,9 +212,7 @@ def _ids(batches: Iterator[pa.RecordBatch], path: str, pattern: str, table: Perf
     for batch in batches:
         data, offsets = flat(batch.column("text"))
         for a, b in slices(offsets):
-            raw = data[offsets[a] : offsets[b]].tobytes()
-            at = (offsets[a : b + 1] - offsets[a]).tolist()
-            ids, counts = encoder.encode([raw[x:y] for x, y in zip(at[:-1], at[1:], strict=True)])
+            ids, counts = encoder.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             starts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), lists], ["doc_id", "ids"])

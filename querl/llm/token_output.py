@@ -61,9 +61,7 @@ def _tokenize(batches: Iterator[pa.RecordBatch], path: str, end_id: int, dtype:
     for batch in batches:
         data, offsets = flat(batch.column("text"))
         for a, b in slices(offsets):
-            raw = data[offsets[a] : offsets[b]].tobytes()
-            at = (offsets[a : b + 1] - offsets[a]).tolist()
-            ids, counts = encoder.encode([raw[x:y] for x, y in zip(at[:-1], at[1:], strict=True)])
+            ids, counts = encoder.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             full = np.full(len(ids) + len(counts), end_id, dtype)
             ends = np.cumsum(counts + 1)
             body = np.ones(len(full), bool)

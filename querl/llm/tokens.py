@@ -2,99 +2,135 @@
 
 A text is split at places where no pre-token of the vocabulary can cross, each distinct chunk is
 encoded once and the ids of texts are gathered from a table. The ids are those of the whole text.
+Chunks are told apart by 64-bit hashes, found in an open-addressing table of numpy arrays.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Callable
 
 import numpy as np
 
-from querl.llm.vec import ragged
+from querl.llm.vec import BYTE_VALUES, prefix_sums, ragged, run_hashes, word_bounds
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-BEFORE_WORD = re.compile(rb" (?=[!-~\xc3-\xdf\xe0\xe4-\xf4])")
-"""A space that begins the next pre-token: what follows it is no white space (its lead bytes C2, E1-E3 are left out)."""
-FIRST = b"\xff"
-"""Marks a text's first chunk, which has no space before it; never a byte of UTF-8."""
+STARTS_WORD = np.zeros(256, bool)
+"""Bytes that, after a space, begin a pre-token with it. White space does not; nor do the lead bytes
+C2 and E1-E3, which may begin white space beyond ASCII."""
+STARTS_WORD[0x21:0x7F] = True
+STARTS_WORD[0xC3:0xF5] = True
+STARTS_WORD[0xE1:0xE4] = False
 
 TOGETHER = 256
 """Chunks given to the library in one call, as words already split from each other."""
 
 
-class _Index(dict):
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: list[bytes] = []
-
-    def __missing__(self, key: bytes) -> int:
-        at = self[key] = len(self)
-        self.new.append(key)
-        return at
+class HashTable:
+    """64-bit hash -> number in order of insertion; at most half full."""
+
+    def __init__(self, limit: int) -> None:
+        self.bits = max(10, (2 * limit - 1).bit_length())
+        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.numbers = np.zeros(1 << self.bits, np.int32)
+        self.size = 0
+
+    def _home(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The numbers of the hashes (none is 0), -1 where unknown."""
+        out = np.full(len(h), -1, np.int64)
+        at, todo = self._home(h), np.arange(len(h))
+        while len(todo):
+            have = self.keys[at]
+            hit = have == h[todo]
+            out[todo[hit]] = self.numbers[at[hit]]
+            on = ~hit & (have != 0)
+            todo, at = todo[on], at[on] + 1 & len(self.keys) - 1
+        return out
+
+    def add(self, h: np.ndarray) -> None:
+        """Numbers new, distinct hashes."""
+        numbers = np.arange(self.size, self.size + len(h), dtype=np.int32)
+        at, todo = self._home(h), np.arange(len(h))
+        while len(todo):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = h[todo[free]]
+            won = free & (self.keys[at] == h[todo])
+            self.numbers[at[won]] = numbers[todo[won]]
+            todo, at = todo[~won], at[~won] + 1 & len(self.keys) - 1
+        self.size += len(h)
 
 
 class ChunkEncoder:
     """Encodes texts with ``encode_many`` (chunks -> their ids back to back, ids of each) over their distinct chunks.
 
-    spaced: chunks keep the space before them (byte-level vocabularies); else chunks are split at
-    ASCII white space, which the vocabulary drops. The table restarts beyond ``limit`` chunks.
+    spaced: chunks keep the space before them (byte-level vocabularies); else chunks are the words
+    between ASCII white space, which the vocabulary drops. The table restarts beyond ``limit`` chunks.
     """
 
-    def __init__(self, encode_many: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], spaced: bool, limit: int = 600_000) -> None:
+    def __init__(self, encode_many: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], spaced: bool, limit: int = 2_000_000) -> None:
         self.encode_many, self.spaced, self.limit = encode_many, spaced, limit
         self._restart()
 
     def _restart(self) -> None:
-        self.index = _Index()
+        self.table = HashTable(self.limit)
         self.ids = np.zeros(1 << 16, np.uint32)
         self.offsets = np.zeros(1 << 12, np.int64)
-        self.known = 0
 
-    def _split(self, text: bytes) -> list[bytes]:
+    def _chunks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of the chunks, and the index of each text's first (len+1 values)."""
         if not self.spaced:
-            return text.split()
-        if not text:
-            return []
-        parts = BEFORE_WORD.split(text)
-        if parts[0]:
-            parts[0] = FIRST + parts[0]
-        else:
-            del parts[0]
-        return parts
-
-    def _learn(self) -> None:
-        new, self.index.new = self.index.new, []
-        found, lengths = self.encode_many([c[1:] if c[:1] == FIRST else b" " + c for c in new] if self.spaced else new)
-        at, have = int(self.offsets[self.known]), self.known
-        end = at + int(lengths.sum())
+            return word_bounds(data, offsets)
+        begin = np.zeros(len(data), bool)
+        begin[:-1] = (data[:-1] == 32) & STARTS_WORD[data[1:]]
+        last = offsets[1:] - 1
+        begin[last[last >= 0]] = False  # a text's last byte is followed by nothing
+        first = offsets[:-1][np.diff(offsets) > 0]
+        begin[first] = True
+        starts = np.flatnonzero(begin)
+        return starts, np.append(starts[1:], len(data))[: len(starts)], np.searchsorted(starts, offsets)
+
+    def _learn(self, chunks: list[bytes], hashes: np.ndarray) -> None:
+        found, lengths = self.encode_many(chunks)
+        have = self.table.size
+        at = int(self.offsets[have])
+        end = at + len(found)
         if end > len(self.ids):
-            self.ids = np.resize(self.ids, max(end, 2 * len(self.ids)))
-        if have + len(new) + 1 > len(self.offsets):
-            self.offsets = np.resize(self.offsets, max(have + len(new) + 1, 2 * len(self.offsets)))
-        self.offsets[have + 1 : have + len(new) + 1] = at + np.cumsum(lengths)
+            self.ids = np.concatenate([self.ids, np.zeros(max(end, len(self.ids) * 3 // 2) - len(self.ids), np.uint32)])
+        if have + len(chunks) + 1 > len(self.offsets):
+            self.offsets = np.concatenate([self.offsets, np.zeros(max(have + len(chunks) + 1, len(self.offsets) * 3 // 2) - len(self.offsets), np.int64)])
+        self.offsets[have + 1 : have + len(chunks) + 1] = at + np.cumsum(lengths)
         self.ids[at:end] = found
-        self.known += len(new)
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids back to back, and each text's number of ids."""
-        if len(self.index) > self.limit:
-            self._restart()
-        chunks: list[bytes] = []
-        ends = np.zeros(len(texts) + 1, np.int64)
-        for i, t in enumerate(texts):
-            chunks += self._split(t)
-            ends[i + 1] = len(chunks)
-        at = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
-        if self.index.new:
-            self._learn()
-        starts = self.offsets[at]
-        lengths = self.offsets[at + 1] - starts
-        total = np.zeros(len(chunks) + 1, np.int64)
+        self.table.add(hashes)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts back to back, and each text's number of ids."""
+        starts, ends, first = self._chunks(data, offsets)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+        h = run_hashes(prefix_sums(data, BYTE_VALUES), starts, ends)
+        h[h == 0] = 1
+        number = self.table.find(h)
+        miss = np.flatnonzero(number < 0)
+        if len(miss):
+            new, at = np.unique(h[miss], return_index=True)
+            if self.table.size + len(new) > self.limit:
+                self._restart()
+                self.table = HashTable(max(self.limit, len(starts)))
+                miss = np.arange(len(h))
+                new, at = np.unique(h, return_index=True)
+            raw = data.tobytes()
+            at = miss[at]
+            self._learn([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], new)
+            number[miss] = self.table.find(h[miss])
+        begin = self.offsets[number]
+        lengths = self.offsets[number + 1] - begin
+        total = np.zeros(len(starts) + 1, np.int64)
         np.cumsum(lengths, out=total[1:])
-        return self.ids[ragged(starts, lengths)], np.diff(total[ends])
+        return self.ids[ragged(begin, lengths)], np.diff(total[first])
 
 
 _encoders: dict[tuple[str, bool], ChunkEncoder] = {}
