@@ -377,12 +377,16 @@ def _cover_equal(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, at: np.
     h = run_hashes(prefix_sums(data, BYTE_VALUES), at, at + MATCH)
     by = np.argsort(h, kind="stable")
     h, everywhere = h[by], everywhere[by]
+    maybe = np.zeros(1 << 20, bool)  # spares most strings the search
+    maybe[h & np.uint64(len(maybe) - 1)] = True
     starts, which = [], []
     for a, b in slices(offsets, 1 << 20):
         own, bounds = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         s = ragged(bounds[:-1], np.maximum(np.diff(bounds) - MATCH + 1, 0))
         if len(s):
             found = run_hashes(prefix_sums(own, BYTE_VALUES), s, s + MATCH)
+            some = np.flatnonzero(maybe[found & np.uint64(len(maybe) - 1)])
+            s, found = s[some], found[some]
             k = np.minimum(np.searchsorted(h, found), len(h) - 1)
             hit = h[k] == found
             starts.append(s[hit] + offsets[a])
