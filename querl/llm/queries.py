@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from querl.llm import byte_bpe, suffix_dedup, token_output, transport_stream
+from querl.llm import byte_bpe, minhash_dedup, suffix_dedup, token_output, transport_stream
 from querl.llm.common import documents
 
 
@@ -16,6 +16,11 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash_tensored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups at 85 percent of five-word shingles."""
+    return minhash_dedup.dedup(documents(spark, sf_dir), 85, 100)
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every text that repeat 50-byte strings of documents with smaller ids."""
     return suffix_dedup.dedup(documents(spark, sf_dir))
@@ -40,6 +45,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_tensored": op1_minhash_tensored,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_mpeg_ts": op7_mpeg_ts,

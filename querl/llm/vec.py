@@ -115,8 +115,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[
             out.append(own[keep])
         elif b > a:
             k = b - a
-            one = (w[a:b] * PLACE[:k]).sum(dtype=np.uint64) + np.uint64(k) * np.uint64(0xA24BAED4963EE407)
-            out.append(mix(np.array([one], np.uint64)))
+            one = (w[a:b] * PLACE[:k]).sum(keepdims=True, dtype=np.uint64)
+            out.append(mix(one + np.uint64(k * 0xA24BAED4963EE407 & 0xFFFFFFFFFFFFFFFF)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
