@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from querl.llm import byte_bpe, minhash_dedup, suffix_dedup, token_output, transport_stream
+from querl.llm import byte_bpe, host_quality, minhash_dedup, suffix_dedup, token_output, transport_stream
 from querl.llm.common import documents
 
 
@@ -26,6 +26,11 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(documents(spark, sf_dir))
 
 
+def op4_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document rules and the verdict on each document's host."""
+    return host_quality.judge(documents(spark, sf_dir))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every text, and the texts decoded from them."""
     import public_tokenizers
@@ -47,9 +52,12 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_tensored": op1_minhash_tensored,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
+    "op4_host_quality": op4_host_quality,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_mpeg_ts": op7_mpeg_ts,
     "op10_token_output": op10_token_output,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_host_quality": host_quality.ORACLE_SQL,
+}
