@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from querl.llm import byte_bpe, host_quality, minhash_dedup, suffix_dedup, token_output, transport_stream
+from querl.llm import byte_bpe, host_quality, minhash_dedup, pii, suffix_dedup, token_output, transport_stream
 from querl.llm.common import documents
 
 
@@ -43,6 +43,11 @@ def op7_mpeg_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_stream.store(documents(spark, sf_dir), media=False)
 
 
+def op8_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text: fixed patterns and what the random field adds."""
+    return pii.find(documents(spark, sf_dir))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids written in frequency-ranked variable-length coding and read back."""
     shards, by_rank = token_output.write_corpus(documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"), end_id=2)
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_host_quality": op4_host_quality,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_mpeg_ts": op7_mpeg_ts,
+    "op8_pii_crf": op8_pii_crf,
     "op10_token_output": op10_token_output,
 }
 
