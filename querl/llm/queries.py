@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from querl.llm import byte_bpe, host_quality, minhash_dedup, pii, suffix_dedup, token_output, transport_stream
+from querl.llm import byte_bpe, host_quality, language_id, minhash_dedup, pii, suffix_dedup, token_output, transport_stream
 from querl.llm.common import documents
 
 
@@ -48,6 +48,11 @@ def op8_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents(spark, sf_dir))
 
 
+def op9_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text."""
+    return language_id.identify(documents(spark, sf_dir))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids written in frequency-ranked variable-length coding and read back."""
     shards, by_rank = token_output.write_corpus(documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"), end_id=2)
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_byte_bpe": op6_byte_bpe,
     "op7_mpeg_ts": op7_mpeg_ts,
     "op8_pii_crf": op8_pii_crf,
+    "op9_language_crf": op9_language_crf,
     "op10_token_output": op10_token_output,
 }
 
