@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from querl.llm import byte_bpe, host_quality, language_id, minhash_dedup, pii, suffix_dedup, token_output, transport_stream
+from querl.llm import byte_bpe, host_quality, language_id, minhash_dedup, packing, pii, suffix_dedup, token_output, transport_stream
 from querl.llm.common import documents
 
 
@@ -21,6 +21,11 @@ def op1_minhash_tensored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.dedup(documents(spark, sf_dir), 85, 100)
 
 
+def op2_pack_grouping_ga(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    return packing.pack(documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"))
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every text that repeat 50-byte strings of documents with smaller ids."""
     return suffix_dedup.dedup(documents(spark, sf_dir))
@@ -61,6 +66,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_tensored": op1_minhash_tensored,
+    "op2_pack_grouping_ga": op2_pack_grouping_ga,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_host_quality": op4_host_quality,
     "op6_byte_bpe": op6_byte_bpe,
