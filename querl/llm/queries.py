@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from querl.llm import byte_bpe, host_quality, language_id, minhash_dedup, packing, pii, suffix_dedup, token_output, transport_stream
+from querl.llm import byte_bpe, host_quality, language_id, minhash_dedup, packing, pii, pitman_yor, suffix_dedup, token_output, transport_stream
 from querl.llm.common import documents
 
 
@@ -36,6 +36,11 @@ def op4_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_quality.judge(documents(spark, sf_dir))
 
 
+def op5_pitman_yor_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every text under a hierarchical Pitman-Yor model of the training texts."""
+    return pitman_yor.score(documents(spark, sf_dir))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every text, and the texts decoded from them."""
     import public_tokenizers
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pack_grouping_ga": op2_pack_grouping_ga,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_host_quality": op4_host_quality,
+    "op5_pitman_yor_lm": op5_pitman_yor_lm,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_mpeg_ts": op7_mpeg_ts,
     "op8_pii_crf": op8_pii_crf,
