@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
@@ -49,6 +49,12 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_measured(df: DataFrame, label: str, **measures) -> tuple[DataFrame, dict]:
+    """cut() with aggregates of the rows taken while they are written."""
+    seen = Observation()
+    return cut(df.observe(seen, *[c.alias(n) for n, c in measures.items()]), label), seen.get
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors' Python workers, once per application."""
     sc = spark.sparkContext

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querl.llm.common import cut
+from querl.llm.common import cut_measured
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,8 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     mark = None
     while True:
-        now = cut(_small_star(_large_star(now)), "edges")
-        was, mark = mark, tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if mark == was or not mark[0]:
+        was = mark
+        now, mark = cut_measured(_small_star(_large_star(now)), "edges", n=F.count("*"), h=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+        if mark == was or not mark["n"]:
             break
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

@@ -8,13 +8,17 @@ table, so 2 * SIDE * ROWS minhashes serve SIDE * SIDE tables of 2 * ROWS rows. T
 similarity s meet in some table with probability (1 - (1 - s**ROWS)**SIDE)**2: 0.99997 at 0.85.
 Only keys that occur twice are tensored.
 
-Buckets are resolved exactly, without all pairs: each bucket names a few hubs, all members of other
-components are compared with the hubs on their full sets, hubs retire, and the bucket goes on with
-more hubs until its members are one component or none is left to be a hub. So every two members of
-a bucket are in one component or have been compared.
+Buckets are resolved without all pairs. First every text is compared, on full sets, with one hub: of
+the smallest texts of its buckets, the one it shares most buckets with. Texts of buckets that still
+hold several components are resolved exactly, by prefixes: ordered by how rare they are among these
+texts, two similar sets share one of the first n - ceil(0.85 n) + 1 shingles of each. The texts that
+share such a shingle are compared with a few hubs of other components, unless bitmaps of the sets
+show that they can't be similar; hubs retire, and this goes on
+with more hubs until every two texts of a shingle are in one component or have been compared.
 
 Defined results: a null or wordless text has an empty set and links with nothing; a null doc_id
-links with nothing and keeps its row with a null component; repeated doc_ids are one node; an empty
+links with nothing and keeps its row with a null component; rows of
+one doc_id should be copies (where they differ, one of them has the links); an empty
 table gives an empty result.
 """
 
@@ -28,15 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querl.llm.common import cut, flat, narrow, ship, slices
+from querl.llm.common import cut, cut_measured, flat, narrow, ship, slices
 from querl.llm.components import components
 from querl.llm.vec import mix, shingle_sets
 
 WORDS = 5
 ROWS = 3
 SIDE = 12
-HUBS = 4
-"""A bucket's hubs in the first round are one, then this many times as many each round."""
+MAP_WORDS = 64
+"""64-bit words of the bitmaps that bound an intersection from above."""
+HUBS = 8
+"""A shingle's hubs in the first round, and how many times as many each next round has."""
 
 _rng = np.random.default_rng(85)
 FACTORS = _rng.integers(1, 1 << 63, 2 * SIDE * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -92,7 +98,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], WORDS)
             ends = np.cumsum([0, *(len(s) for s in sets)], dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), lists], ["id", "shingles"])
+            bits = np.zeros((len(sets), 64 * MAP_WORDS), bool)
+            for row, own in zip(bits, sets, strict=True):
+                row[own % np.uint64(64 * MAP_WORDS)] = True
+            excess = np.diff(ends) - bits.sum(axis=1)
+            maps = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * MAP_WORDS), pa.array(np.packbits(bits, axis=1).view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), lists, maps, pa.array(excess, pa.int64())], ["id", "shingles", "map", "excess"])
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -102,9 +113,9 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def shingles(docs: DataFrame) -> DataFrame:
-    """(id, shingles): the full sets."""
+    """(id, shingles, map, excess): the full sets, a bitmap of each, and how many shingles it has beyond its set bits."""
     ship(docs.sparkSession)
-    return narrow(docs).mapInArrow(_sets, "id long, shingles array<long>")
+    return narrow(docs).mapInArrow(_sets, "id long, shingles array<long>, map array<long>, excess long")
 
 
 def bucket_members(reps: DataFrame) -> DataFrame:
@@ -120,7 +131,7 @@ def bucket_members(reps: DataFrame) -> DataFrame:
     second = F.filter("k", lambda x: x["place"] >= SIDE)
     pairs = F.flatten(F.transform(first, lambda a: F.transform(second, lambda b: F.xxhash64(a["place"], a["key"], b["place"], b["key"]))))
     rows = mine.select(F.explode(pairs).alias("bucket"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
-    rows = cut(rows, "members")
+    rows = cut(rows, "members")  # read twice below
     shared = rows.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
     return rows.join(shared, "bucket")
 
@@ -135,39 +146,69 @@ def _similar(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int
     return sized.select("u", "v", (F.expr(f"{denominator}L * common") >= F.expr(f"{numerator}L * (total - common)")).alias("linked"))
 
 
-def links(docs: DataFrame, reps: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """Links (u, v) between representatives that connect all they must: see the module's text."""
-    members = cut(bucket_members(reps), "buckets")
-    ids = members.select("id").distinct()
-    wanted = narrow(docs).join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = cut(shingles(wanted), "sets")
-    found = compared = None
-    hubs, turn = 1, 0
+def _first_links(members: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Links of every text with the hub it shares most buckets with."""
+    hubs = members.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("hub"))
+    size_ok = (denominator * F.least("n", "hub.n")) >= (numerator * F.greatest("n", "hub.n"))
+    shared = members.join(hubs, "bucket").where((F.col("id") != F.col("hub.id")) & size_ok).groupBy("id", F.col("hub.id").alias("hub")).agg(F.count("*").alias("c"))
+    best = shared.groupBy("id").agg(F.max(F.struct("c", (-F.col("hub")).alias("less"))).alias("m"))
+    pairs = best.select(F.col("id").alias("u"), (-F.col("m.less")).alias("v"))
+    return cut(_similar(pairs, sets, numerator, denominator).where("linked").select("u", "v"), "first-links")
+
+
+def _rare_shingles(sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """(bucket, id, n, map, excess): of each set, those of its rarest n - ceil(t n) + 1 shingles that another set has."""
+    one = sets.select("id", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("bucket"))
+    often = one.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
+    mine = one.join(often, "bucket").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "bucket"))).alias("k"))  # a text's own shingles
+    alone = F.col("n") - F.size("k")
+    prefix = F.expr(f"n - (n * {numerator}L + {denominator - 1}) div {denominator}L + 1") - alone
+    rare = mine.where(prefix > 0).select("id", "n", F.slice("k", F.lit(1), prefix.cast("int")).alias("k"))
+    return rare.join(sets.select("id", "map", "excess"), "id").select(F.explode("k").alias("x"), "id", "n", "map", "excess").select(F.col("x.bucket").alias("bucket"), "id", "n", "map", "excess")
+
+
+def _resolve(members: DataFrame, sets: DataFrame, found: DataFrame, comp: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """(id, component) once all texts that share a bucket of ``members`` are in one component or compared."""
+    compared = None
+    hubs, turn = HUBS, 0
     while True:
-        if found is not None:
-            comp = components(found)
-            members = members.drop("comp").join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-        else:
-            members = members.withColumn("comp", F.col("id"))
+        members = members.drop("comp").join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
         split = members.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("bucket")
-        members = members.join(split, "bucket")
-        order = F.struct((F.xxhash64("id", F.lit(turn)) if turn else F.col("id")).alias("rank"), "id", "n", "comp")
-        salt = F.pmod(F.xxhash64("id", F.lit(-turn)), F.lit(hubs))
+        members, left = cut_measured(members.join(split, "bucket"), "split", n=F.count("*"))
+        if not left["n"]:
+            return comp
+        order = F.struct(F.xxhash64("id", F.lit(turn)).alias("rank"), "id", "n", "comp", "map", "excess")
+        salt = F.pmod(F.xxhash64("id", F.lit(-1 - turn)), F.lit(hubs))
         chosen = members.groupBy("bucket", salt.alias("salt")).agg(F.min(order).alias("hub"))
-        chosen = cut(chosen.select("bucket", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.comp").alias("hub_comp")), "hubs")
-        if not chosen.head(1):
-            break
-        size_ok = (denominator * F.least("n", "hub_n")) >= (numerator * F.greatest("n", "hub_n"))
-        pairs = members.join(chosen, "bucket").where((F.col("comp") != F.col("hub_comp")) & size_ok).select(F.greatest("id", "hub").alias("u"), F.least("id", "hub").alias("v")).distinct()
+        chosen = chosen.select("bucket", *[F.col(f"hub.{c}").alias("hub" if c == "id" else f"hub_{c}") for c in ("id", "n", "comp", "map", "excess")])
+        # no intersection is larger than the bits in common and the smaller excess; the join itself drops what can't be similar
+        most = sum((F.bit_count(F.col("map")[i].bitwiseAND(F.col("hub_map")[i])) for i in range(1, MAP_WORDS)), F.bit_count(F.col("map")[0].bitwiseAND(F.col("hub_map")[0]))) + F.least("excess", "hub_excess")
+        possible = (F.col("comp") != F.col("hub_comp")) & (denominator * most >= numerator * (F.col("n") + F.col("hub_n") - most))
+        pairs = members.join(chosen, "bucket").where(possible).select(F.greatest("id", "hub").alias("u"), F.least("id", "hub").alias("v")).distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["u", "v"], "left_anti")
-        judged = cut(_similar(pairs, sets, numerator, denominator), "judged")
-        good = judged.where("linked").select("u", "v")
-        found = good if found is None else found.union(good)
+        judged, seen = cut_measured(_similar(pairs, sets, numerator, denominator), "judged", links=F.coalesce(F.sum(F.col("linked").cast("long")), F.lit(0)))
+        if seen["links"]:
+            found = found.union(judged.where("linked").select("u", "v"))
+            comp = components(found)
         compared = judged.select("u", "v") if compared is None else compared.union(judged.select("u", "v"))
-        members = cut(members.join(chosen.select("bucket", F.col("hub").alias("id")), ["bucket", "id"], "left_anti"), "buckets")
+        members = members.join(chosen.select("bucket", F.col("hub").alias("id")), ["bucket", "id"], "left_anti")
         hubs, turn = hubs * HUBS, turn + 1
-    return found if found is not None else docs.sparkSession.createDataFrame([], "u long, v long")
+
+
+def near_components(docs: DataFrame, reps: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """(id, component) of the representatives that have links."""
+    members = cut(bucket_members(reps), "buckets")
+    ids = members.select(F.col("id").alias("doc_id")).distinct()
+    wanted = narrow(docs).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = cut(shingles(wanted), "sets")
+    found = _first_links(members, sets, numerator, denominator)
+    comp = components(found)
+    labelled = members.join(comp, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"))
+    split = labelled.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("bucket")
+    open_ids = labelled.join(split, "bucket").select("id").distinct()
+    rest = cut(_rare_shingles(sets.join(open_ids, "id", "left_semi"), numerator, denominator), "rare")
+    return _resolve(rest, sets, found, comp, numerator, denominator)
 
 
 def dedup(docs: DataFrame, numerator: int = 85, denominator: int = 100) -> DataFrame:
@@ -175,15 +216,13 @@ def dedup(docs: DataFrame, numerator: int = 85, denominator: int = 100) -> DataF
 
     component_id is the smallest doc_id reachable; kept is true for that document.
     """
+    same = ["n_shingles", "set_a", "set_b"]
     all_docs = cut(sketches(docs), "sketches")
     whole = all_docs.where("n_shingles > 0 and doc_id is not null")
-    classes = whole.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"))
-    rep_of = whole.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["n_shingles", "set_a", "set_b"])
-    reps = cut(whole.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "reps")
-    # copies of a class, and repeated doc_ids with other texts, are links too
-    copies = cut(rep_of.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct(), "copies")
-    near = links(docs, reps, numerator, denominator)
-    comp = components(copies.union(near))
-    labelled = all_docs.select("doc_id", "n_shingles").join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    component = F.coalesce("component", "doc_id")
+    reps = whole.groupBy(*same).agg(F.min(F.struct("doc_id", "keys")).alias("r")).select(*same, "r.doc_id", "r.keys")
+    reps = cut(reps.dropDuplicates(["doc_id"]), "reps")
+    near = near_components(docs, reps, numerator, denominator)
+    classes = reps.join(near.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(*same, F.coalesce("component", "doc_id").alias("component"))
+    labelled = all_docs.select("doc_id", *same).join(classes, same, "left")
+    component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.coalesce("component", "doc_id"))
     return labelled.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
