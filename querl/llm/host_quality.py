@@ -74,13 +74,14 @@ def host_rates(ruled: DataFrame) -> DataFrame:
     """(host, n, failed, rate): each host's failure rate, shrunk by the fitted prior."""
     hosts = ruled.groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum(F.col("base_failed").cast("double")).alias("failed"))
     sums = hosts.agg(F.count("*").alias("hosts"), F.sum("n").alias("docs"), F.sum("failed").alias("fails"), F.sum(F.col("failed") * F.col("failed") / F.col("n")).alias("squares"))
-    mean = F.col("fails") / F.col("docs")
+    r = sums.first()  # one row of totals
+    if not r["docs"]:
+        return hosts.withColumn("rate", F.lit(0.0))
+    mean = r["fails"] / r["docs"]
     spread = mean * (1 - mean)
-    between = F.col("squares") / F.col("docs") - mean * mean - F.col("hosts") * spread / F.col("docs")
-    strength = F.when(between > 0, F.greatest(F.lit(1.0), F.least(F.lit(1e6), spread / between - 1))).otherwise(F.lit(1e6))
-    prior = sums.where("docs > 0").select(mean.alias("mean"), strength.alias("strength"))
-    rate = (F.col("failed") + F.col("mean") * F.col("strength")) / (F.col("n") + F.col("strength"))
-    return hosts.join(F.broadcast(prior)).select("host", "n", "failed", rate.alias("rate"))  # the prior is one row
+    between = r["squares"] / r["docs"] - mean * mean - r["hosts"] * spread / r["docs"]
+    strength = max(1.0, min(1e6, spread / between - 1)) if between > 0 else 1e6
+    return hosts.withColumn("rate", (F.col("failed") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength)))
 
 
 def judge(docs: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
