@@ -65,8 +65,8 @@ def op9_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids written in frequency-ranked variable-length coding and read back."""
-    shards, by_rank = token_output.write_corpus(documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"), end_id=2)
-    return token_output.read_corpus(shards, by_rank)
+    shards, ranks = token_output.write_corpus(documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"), end_id=2)
+    return token_output.read_corpus(shards, ranks)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -83,5 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_tensored": minhash_dedup.ORACLE_SQL,
+    "op3_suffix_array_dedup": suffix_dedup.ORACLE_SQL,
     "op4_host_quality": host_quality.ORACLE_SQL,
 }

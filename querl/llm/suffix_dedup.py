@@ -476,3 +476,20 @@ def dedup(docs: DataFrame, with_text: bool = False, carry: tuple[str, ...] = (),
     kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in own.select(*carry).schema) if carry else ""
     schema = f"doc_id long{kinds}, {FOUND}" + ", kept_text string" * with_text
     return by_block.cogroup(replies.groupBy("block")).applyInArrow(lambda key, t, r: _mark(key, t, r, with_text), schema)
+
+
+ORACLE_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d WHERE len(h) >= 100),
+k AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS x FROM g),
+m AS (SELECT x, min(doc_id) AS least FROM k GROUP BY x HAVING count(*) > 1),
+c AS (SELECT doc_id, i FROM k JOIN m USING (x) WHERE least < doc_id),
+f AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM c),
+r AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM f),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM r GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, a, b, substr(h, 2 * coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1, 2 * (a - coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0))) AS x FROM spans JOIN d USING (doc_id)),
+cut AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(x, '' ORDER BY a) AS head, max(b) AS last FROM gaps GROUP BY doc_id)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""

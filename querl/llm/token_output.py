@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -139,8 +140,8 @@ def _write_shards(batches: Iterator[pa.RecordBatch], by_rank: np.ndarray, dtype:
         yield shard()
 
 
-def write_corpus(docs: DataFrame, path: str, end_id: int, wide: bool = False) -> tuple[DataFrame, np.ndarray]:
-    """Tokenizes ``docs`` and writes the corpus to the shared folder; the ``shards`` table and the ids by rank."""
+def write_corpus(docs: DataFrame, path: str, end_id: int, wide: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Tokenizes ``docs`` and writes the corpus to the shared folder; the tables ``shards`` and ``ranks`` (rank, id)."""
     dtype = "<u4" if wide else "<u2"
     tokens = cut(tokenize(docs, path, end_id, wide), "tokens")
     by_rank = rank_ids(tokens, dtype)
@@ -148,7 +149,8 @@ def write_corpus(docs: DataFrame, path: str, end_id: int, wide: bool = False) ->
     parts = max(1, min(MOST_PARTS, -(-total // PART_TOKENS)))
     ordered = tokens.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "n_tokens", "ids")
     shards = cut(ordered.mapInArrow(partial(_write_shards, by_rank=by_rank, dtype=dtype), SHARD_SCHEMA), "shards")
-    return shards, by_rank
+    ranks = docs.sparkSession.createDataFrame(pd.DataFrame({"rank": np.arange(len(by_rank)), "id": by_rank}), "rank long, id long")
+    return shards, cut(ranks, "ranks")
 
 
 def _read_shards(batches: Iterator[pa.RecordBatch], by_rank: np.ndarray, base: dict[int, int]) -> Iterator[pa.RecordBatch]:
@@ -170,8 +172,9 @@ def _read_shards(batches: Iterator[pa.RecordBatch], by_rank: np.ndarray, base: d
             )
 
 
-def read_corpus(shards: DataFrame, by_rank: np.ndarray) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) from the files. One total for each part comes to the driver."""
+def read_corpus(shards: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) from the files. The ranks and one total for each part come to the driver."""
+    by_rank = ranks.orderBy("rank").toPandas()["id"].to_numpy(np.int64)
     totals = shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
     base, at = {}, 0
     for r in totals:

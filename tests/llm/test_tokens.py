@@ -127,13 +127,13 @@ def brute_output(rows):
 def test_token_output(spark):
     docs = documents(spark, SF)
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
-    shards, by_rank = to.write_corpus(docs.withColumn("ids", F.lit("clash")), public_tokenizers.path("byte_bpe_50k.json"), 2)
-    assert sorted(map(tuple, to.read_corpus(shards, by_rank).collect()), key=str) == brute_output(rows)
+    shards, ranks = to.write_corpus(docs.withColumn("ids", F.lit("clash")), public_tokenizers.path("byte_bpe_50k.json"), 2)
+    assert sorted(map(tuple, to.read_corpus(shards, ranks).collect()), key=str) == brute_output(rows)
 
 
 def test_token_output_of_odd_rows(spark):
     rows = [(5, None), (3, ""), (None, "x y"), (4, "long " * 3000), (4, "é"), (4, "é"), (-7, "b")]
-    shards, by_rank = to.write_corpus(spark.createDataFrame(rows, "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.json"), 2)
-    assert sorted(map(tuple, to.read_corpus(shards, by_rank).collect()), key=str) == brute_output(rows)
-    shards, by_rank = to.write_corpus(spark.createDataFrame([], "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.json"), 2)
-    assert to.read_corpus(shards, by_rank).count() == 0
+    shards, ranks = to.write_corpus(spark.createDataFrame(rows, "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.json"), 2)
+    assert sorted(map(tuple, to.read_corpus(shards, ranks).collect()), key=str) == brute_output(rows)
+    shards, ranks = to.write_corpus(spark.createDataFrame([], "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.json"), 2)
+    assert to.read_corpus(shards, ranks).count() == 0
