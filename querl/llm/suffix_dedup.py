@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querl.llm.common import blocks_of, flat, narrow, ship, slices
-from querl.llm.vec import BYTE_VALUES, mix, prefix_sums, ragged, run_hashes
+from querl.llm.vec import BYTE_VALUES, gram_hashes, mix, prefix_sums, ragged, run_hashes
 
 MATCH = 50
 GRAM = 20
@@ -59,16 +59,14 @@ def window_min(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[: len(m) - (width - have)], m[width - have :]) if have < width else m
 
 
-def block_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def block_runs(data: np.ndarray, offsets: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a block's texts: each run's anchor hash, first string start, number of starts, text index."""
     found = []
     for a, b in slices(offsets, 1 << 20):
-        own, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        if len(own) < MATCH:
+        at = offsets[a : b + 1] - offsets[a]
+        if at[-1] < MATCH:
             continue
-        sums = prefix_sums(own, BYTE_VALUES)
-        first = np.arange(len(own) - GRAM + 1, dtype=np.int64)
-        v = window_min(run_hashes(sums, first, first + GRAM), WINDOW)
+        v = window_min(gram_hashes(sums, GRAM, int(offsets[a]), int(at[-1]) - GRAM + 1), WINDOW)
         lengths = np.maximum(np.diff(at) - MATCH + 1, 0)
         text = np.repeat(np.arange(len(lengths)), lengths)
         start = ragged(at[:-1], lengths)
@@ -112,7 +110,8 @@ REPORT = "part int, block long, anchors binary, twice binary, many binary"
 
 def _report(key, table: pa.Table, parts: int, hot_runs: int) -> pa.Table:
     data, offsets = flat(table.column("text"))
-    v, start, size, text = block_runs(data, offsets)
+    sums = prefix_sums(data, BYTE_VALUES)
+    v, start, size, text = block_runs(data, offsets, sums)
     ids = _ids(table)[text]
     keys = _keys(v, parts)
     order = np.argsort(keys, kind="stable")
@@ -123,7 +122,6 @@ def _report(key, table: pa.Table, parts: int, hot_runs: int) -> pa.Table:
         twice = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
         many = np.diff(np.append(first, len(keys))) > hot_runs
         if many.any():  # only distinct runs count
-            sums = prefix_sums(data, BYTE_VALUES)
             group = np.cumsum(np.append(False, keys[1:] != keys[:-1]))
             at = np.flatnonzero(many[group])
             h = run_hashes(sums, start[order[at]], start[order[at]] + size[order[at]] + MATCH - 1)
@@ -178,9 +176,9 @@ def _spread(answers: pa.Table, uniq: np.ndarray, name: str) -> np.ndarray:
     return out
 
 
-def _block_strings(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _block_strings(sums: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A block's distinct runs by hash: the hashes, and which one each run is."""
-    h = run_hashes(prefix_sums(data, BYTE_VALUES), start, start + size + MATCH - 1) if len(start) else np.zeros(0, np.uint64)
+    h = run_hashes(sums, start, start + size + MATCH - 1) if len(start) else np.zeros(0, np.uint64)
     return np.unique(h, return_inverse=True)
 
 
@@ -188,12 +186,13 @@ def _send(key, texts: pa.Table, answers: pa.Table, parts: int) -> pa.Table:
     if not len(texts) or not len(answers):
         return _table([], SEND)
     data, offsets = flat(texts.column("text"))
-    v, start, size, text = block_runs(data, offsets)
+    sums = prefix_sums(data, BYTE_VALUES)
+    v, start, size, text = block_runs(data, offsets, sums)
     ids = _ids(texts)[text]
     keys = _keys(v, parts)
     uniq, which = np.unique(keys, return_inverse=True)
     shared, hot = _spread(answers, uniq, "shared"), _spread(answers, uniq, "hot")
-    strings, number = _block_strings(data, start, size)
+    strings, number = _block_strings(sums, start, size)
     at = np.flatnonzero(shared[which])
     at = at[np.lexsort((ids[at], number[at]))]
     at = at[np.append(True, number[at][1:] != number[at][:-1])] if len(at) else at  # each distinct run once, with its smallest doc_id
@@ -207,7 +206,7 @@ def _send(key, texts: pa.Table, answers: pa.Table, parts: int) -> pa.Table:
         inside = ragged(np.zeros(len(n), np.int64), n)
         again = np.repeat(np.flatnonzero(burst), n)
         s = first[again] + inside
-        h = run_hashes(prefix_sums(data, BYTE_VALUES), s, s + MATCH)
+        h = run_hashes(sums, s, s + MATCH)
         by = np.lexsort((ids[again], h))
         by = by[np.append(True, h[by][1:] != h[by][:-1])]
         s, again, inside, h = s[by], again[by], inside[by], h[by]
@@ -296,7 +295,7 @@ def sort_suffixes(buffer: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, n
             break
         members = order[open_at]
         key = word[starts[members] + depth]
-        by = np.lexsort((key, group[open_at]))
+        by = np.lexsort((key, group[open_at])) if depth else np.argsort(key, kind="stable")
         members, key, was = members[by], key[by], group[open_at]
         order[open_at] = members
         new = np.empty(len(by), bool)
@@ -307,6 +306,16 @@ def sort_suffixes(buffer: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, n
         group[open_at] = np.repeat(open_at[heads], sizes)
         open_at = open_at[np.repeat(sizes > 1, sizes)]
     split = np.ones(n, bool)  # does a class begin at this place?
+    if len(open_at):
+        # groups that are equal to the end need no trie: their members are one class as they stand
+        place, head = order[open_at], order[group[open_at]]
+        differ = np.zeros(len(open_at), bool)
+        for depth in (*range(SHALLOW, MATCH - 8, 8), MATCH - 8):
+            differ |= word[starts[place] + depth] != word[starts[head] + depth]
+        split[open_at[group[open_at] != open_at]] = False
+        mixed = np.zeros(n, bool)
+        mixed[group[open_at[differ]]] = True
+        open_at = open_at[mixed[group[open_at]]]
     if len(open_at):
         raw = buffer.tobytes()
         heads = np.flatnonzero(np.append(True, group[open_at][1:] != group[open_at][:-1]))
@@ -347,7 +356,8 @@ def _reply(key, table: pa.Table) -> pa.Table:
     np.minimum.at(least, which, doc)
     n = length[one] - MATCH + 1
     owner = np.repeat(np.arange(len(one)), n)
-    order, cls = sort_suffixes(data, ragged(first[one], n))
+    own = data[ragged(first[one], length[one])]
+    order, cls = sort_suffixes(own, ragged(np.cumsum(length[one]) - length[one], n))
     smallest = np.full(cls[-1] + 1, np.iinfo(np.int64).max)
     np.minimum.at(smallest, cls, least[owner[order]])
     by_start = np.empty(len(owner), np.int64)
@@ -372,25 +382,26 @@ def _reply(key, table: pa.Table) -> pa.Table:
     return _table(out, REPLY)
 
 
-def _cover_equal(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, at: np.ndarray, everywhere: np.ndarray, change: np.ndarray) -> None:
+def _cover_equal(sums: np.ndarray, offsets: np.ndarray, ids: np.ndarray, at: np.ndarray, everywhere: np.ndarray, change: np.ndarray) -> None:
     """Covers each string of the block equal to one at ``at``: all of them, or those of documents after the first."""
-    h = run_hashes(prefix_sums(data, BYTE_VALUES), at, at + MATCH)
+    h = run_hashes(sums, at, at + MATCH)
     by = np.argsort(h, kind="stable")
     h, everywhere = h[by], everywhere[by]
     maybe = np.zeros(1 << 20, bool)  # spares most strings the search
     maybe[h & np.uint64(len(maybe) - 1)] = True
     starts, which = [], []
     for a, b in slices(offsets, 1 << 20):
-        own, bounds = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        s = ragged(bounds[:-1], np.maximum(np.diff(bounds) - MATCH + 1, 0))
-        if len(s):
-            found = run_hashes(prefix_sums(own, BYTE_VALUES), s, s + MATCH)
-            some = np.flatnonzero(maybe[found & np.uint64(len(maybe) - 1)])
-            s, found = s[some], found[some]
-            k = np.minimum(np.searchsorted(h, found), len(h) - 1)
-            hit = h[k] == found
-            starts.append(s[hit] + offsets[a])
-            which.append(k[hit])
+        n = int(offsets[b] - offsets[a]) - MATCH + 1
+        if n <= 0:
+            continue
+        found = gram_hashes(sums, MATCH, int(offsets[a]), n)
+        s = np.flatnonzero(maybe[found & np.uint64(len(maybe) - 1)])
+        found = found[s]
+        s += offsets[a]
+        k = np.minimum(np.searchsorted(h, found), len(h) - 1)
+        hit = (h[k] == found) & (s + MATCH <= offsets[np.searchsorted(offsets, s, side="right")])  # within one text
+        starts.append(s[hit])
+        which.append(k[hit])
     s, k = np.concatenate(starts), np.concatenate(which)
     doc = ids[np.searchsorted(offsets, s, side="right") - 1]
     least = np.full(len(h), np.iinfo(np.int64).max)
@@ -405,8 +416,9 @@ FOUND = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 def covered_bytes(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, replies: pa.Table) -> np.ndarray:
     """Which bytes of a block's texts go."""
-    _, start, size, text = block_runs(data, offsets)
-    strings, number = _block_strings(data, start, size)
+    sums = prefix_sums(data, BYTE_VALUES)
+    _, start, size, text = block_runs(data, offsets, sums)
+    strings, number = _block_strings(sums, start, size)
     own = ids[text]
     least = np.full(len(strings), np.iinfo(np.int64).max)
     np.minimum.at(least, number, own)
@@ -423,7 +435,7 @@ def covered_bytes(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, replie
         if alone.any():
             which, run = np.unique(number, return_index=True)
             at = start[run[np.searchsorted(which, label[alone] // LONGEST_RUN)]] + label[alone] % LONGEST_RUN
-            _cover_equal(data, offsets, ids, at, count[alone] > ALONE, change)
+            _cover_equal(sums, offsets, ids, at, count[alone] > ALONE, change)
             label, count = label[~alone], count[~alone]
         told = label // LONGEST_RUN
         lo, hi = np.searchsorted(told, number, "left"), np.searchsorted(told, number, "right")

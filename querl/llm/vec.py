@@ -16,6 +16,8 @@ FOLDED_VALUES[65:91] = BYTE_VALUES[97:123]
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 PLACE = (_rng.integers(1, 1 << 63, 8, dtype=np.uint64) * np.uint64(2)) + np.uint64(1)
+STRETCH = 1 << 20
+LENGTH_FACTOR = 0xD6E8FEB86659FD93
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -26,7 +28,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, kept for later calls."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length() if n > 1 else 1)
+        size = max(1 << 16, n + n // 8)
         out = np.empty(size, np.uint64)
         out[0] = 1
         done = 1
@@ -40,11 +42,19 @@ def powers(base: int, n: int) -> np.ndarray:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every input bit."""
-    x = x ^ (x >> np.uint64(33))
+    return mix_own(x.copy())
+
+
+def mix_own(x: np.ndarray) -> np.ndarray:
+    """mix() of an array that nobody else needs: it is changed in place."""
+    t = x >> np.uint64(33)
+    x ^= t
     x *= np.uint64(0xFF51AFD7ED558CCD)
-    x ^= x >> np.uint64(33)
+    np.right_shift(x, np.uint64(33), out=t)
+    x ^= t
     x *= np.uint64(0xC4CEB9FE1A85EC53)
-    x ^= x >> np.uint64(33)
+    np.right_shift(x, np.uint64(33), out=t)
+    x ^= t
     return x
 
 
@@ -52,7 +62,9 @@ def prefix_sums(data: np.ndarray, values: np.ndarray = FOLDED_VALUES) -> np.ndar
     """Prefix sums from which run_hashes() takes the hash of any byte run."""
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
-    np.cumsum(values[data] * powers(BASE, len(data)), out=sums[1:])
+    np.take(values, data, out=sums[1:], mode="wrap")
+    sums[1:] *= powers(BASE, len(data))
+    np.cumsum(sums[1:], out=sums[1:])
     return sums
 
 
@@ -61,8 +73,16 @@ def run_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     h = sums[ends] - sums[starts]
     if len(starts):
         h *= powers(BASE_INVERSE, int(starts.max()) + 1)[starts]
-    h += (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mix(h)
+    h += (ends - starts).astype(np.uint64) * np.uint64(LENGTH_FACTOR)
+    return mix_own(h)
+
+
+def gram_hashes(sums: np.ndarray, width: int, first: int, n: int) -> np.ndarray:
+    """run_hashes() of the ``n`` runs of ``width`` bytes that start at ``first``, ``first`` + 1, ..."""
+    h = sums[first + width : first + width + n] - sums[first : first + n]
+    h *= powers(BASE_INVERSE, first + n)[first:]
+    h += np.uint64(width * LENGTH_FACTOR & 0xFFFFFFFFFFFFFFFF)
+    return mix_own(h)
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,7 +110,15 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every case-folded word, and the index of each text's first word."""
     starts, ends, first = word_bounds(data, offsets)
-    return run_hashes(prefix_sums(data), starts, ends), first
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):  # a stretch of bytes at a time, or one word
+        low = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, low + STRETCH, side="right")))
+        sums = prefix_sums(data[low : int(ends[to - 1])])
+        out[at:to] = run_hashes(sums, starts[at:to] - low, ends[at:to] - low)
+        at = to
+    return out, first
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[np.ndarray]:
@@ -104,7 +132,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[
         s = w[:m] * PLACE[0]
         for i in range(1, width):
             s += w[i : i + m] * PLACE[i]
-        s = mix(s)
+        s = mix_own(s)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= width:
