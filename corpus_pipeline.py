@@ -25,8 +25,8 @@ def _columns(df: DataFrame, text: str) -> DataFrame:
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is identified; those that are ``und`` (no letter) go."""
     model = language_id.fit(docs)
-    found = language_id.predict(docs, model, carry={"own_text": "text", "lang": "lang", "source": "source", "n_chars": "n_chars"})
-    return found.where("lang_pred <> 'und'").select("doc_id", F.col("own_text").alias("text"), *REST, "n_chars")
+    found = language_id.predict(docs, model, carry=("text", *REST, "n_chars"))
+    return found.where("lang_pred <> 'und'").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

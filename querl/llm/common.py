@@ -6,6 +6,7 @@ is used only where that setting is absent (tests, one machine).
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -21,6 +22,11 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 """Texts are handled in slices of about this many bytes (a longer document is a slice of its own)."""
 
+BATCH_ROWS, MOST_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+"""Rows hold whole texts, so batches of Spark's usual 10,000 rows would take much memory."""
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 _own_root: dict[str, str] = {}
 _shipped: set[str] = set()
 
@@ -56,8 +62,10 @@ def cut_measured(df: DataFrame, label: str, **measures) -> tuple[DataFrame, dict
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, once per application."""
+    """Sends this package to the executors' Python workers, once per application, and keeps Arrow batches small."""
     sc = spark.sparkContext
+    if int(spark.conf.get(BATCH_ROWS)) > MOST_ROWS:
+        spark.conf.set(BATCH_ROWS, MOST_ROWS)
     if sc.applicationId in _shipped:
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -72,6 +80,13 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def release() -> None:
+    """Gives the memory that is free in this worker back to the machine; called between groups of work."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def narrow(docs: DataFrame, *more: str) -> DataFrame:
     """``doc_id`` and ``text`` (null text: empty) and ``more``; other columns can't clash after this."""
     return docs.select(

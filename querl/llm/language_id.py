@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querl.llm.common import flat, ship, slices
+from querl.llm.common import flat, narrow, ship, slices
 from querl.llm.crf import Chains, cut_chains, posteriors, train
-from querl.llm.vec import mix, prefix_sums, ragged, run_hashes, word_bounds
+from querl.llm.vec import gram_hashes, mix_own, prefix_sums, ragged, run_hashes, word_bounds
 
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 2000
@@ -46,7 +46,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _slot(h: np.ndarray, kind: int) -> np.ndarray:
-    return (mix(h + np.uint64(kind * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(64 - BITS)).astype(np.int64)
+    return (mix_own(h + np.uint64(kind * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def affix_slots(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -62,8 +62,7 @@ def affix_slots(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 def gram_slots(data: np.ndarray, sums: np.ndarray) -> np.ndarray:
     """The feature slot of the 3-byte string at each byte."""
-    first = np.arange(max(len(data) - 2, 0))
-    return _slot(run_hashes(sums, first, first + 3), 8)
+    return _slot(gram_hashes(sums, 3, 0, max(len(data) - 2, 0)), 8)
 
 
 class Model:
@@ -166,7 +165,7 @@ def fit(docs: DataFrame) -> Model:
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
-def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], model: Model, carry: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = flat(batch.column("text"))
         ids = batch.column("doc_id")
@@ -175,18 +174,17 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Rec
             own = ids.slice(a, b - a)
             out = [d is not None and zlib.crc32(str(d).encode()) % 4 == FOLD_OUT for d in own.to_pylist()]
             columns, fields = [own, pa.array(out, pa.bool_()), pa.array(names, pa.string()), pa.array(scores)], [x.split()[0] for x in SCHEMA.split(", ")]
-            for name in batch.schema.names:
-                if name not in ("doc_id", "text"):
-                    columns, fields = [*columns, batch.column(name).slice(a, b - a)], [*fields, name]
+            columns += [batch.column(name).slice(a, b - a) for name in carry]
+            fields += carry
             yield pa.RecordBatch.from_arrays(columns, fields)
 
 
-def predict(docs: DataFrame, model: Model, carry: dict[str, str] | None = None) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of every whole text; ``carry``: columns to keep, by their new names."""
+def predict(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) of every whole text, and the columns ``carry`` (text among them: null as empty)."""
     ship(docs.sparkSession)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(n) for n, c in (carry or {}).items()])
-    kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in own.schema[2:]) if carry else ""
-    return own.mapInArrow(partial(_predict, model=model), SCHEMA + kinds)
+    own = narrow(docs, *[c for c in carry if c != "text"])
+    kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in own.select(*carry).schema) if carry else ""
+    return own.mapInArrow(partial(_predict, model=model, carry=carry), SCHEMA + kinds)
 
 
 def identify(docs: DataFrame) -> DataFrame:
