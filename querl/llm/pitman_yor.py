@@ -33,11 +33,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querl.llm.common import flat, narrow, ship
+from querl.llm.common import flat, narrow, release, ship
 from querl.llm.vec import word_hashes
 
-BLOCK_BYTES = 8 << 20
-MOST_PARTS = 4096
+BLOCK_BYTES = 5 << 20
+MOST_PARTS = 1 << 16
 STIRLING = 64
 BURN_IN, SAMPLES = 2, 3
 D2, T2 = 0.85, 1.0
@@ -168,6 +168,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[tuple[dic
         for i in range(batch.num_rows):
             row = batch.slice(i, 1).to_pylist()[0]
             yield row, Block(row, parts)
+            release()
 
 
 WORDS = "part long, block long, words binary, counts binary"
@@ -176,7 +177,7 @@ WORDS = "part long, block long, words binary, counts binary"
 def _report_words(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     for _, b in _blocks(batches, parts):
         counts = b.counts()
-        rows = [(int(b.part[x]), b.number, b.words[x:y].astype("<u8").tobytes(), pack(counts[x:y])) for x, y in zip(*map(np.ndarray.tolist, _runs(b.part)), strict=True)]
+        rows = [(int(b.part[x]), b.number, pack(np.diff(b.words[x:y], prepend=np.uint64(0))), pack(counts[x:y])) for x, y in zip(*map(np.ndarray.tolist, _runs(b.part)), strict=True)]
         yield from _table(rows, WORDS).to_batches()
 
 
@@ -189,10 +190,12 @@ class Words:
     def __init__(self, table: pa.Table) -> None:
         rows = table.to_pylist()
         self.blocks = [r["block"] for r in rows]
-        lists = [np.frombuffer(r["words"], "<u8") for r in rows]
+        lists = [np.cumsum(unpack(r["words"])).view(np.uint64) for r in rows]
         self.sizes = [len(x) for x in lists]
         self.words, self.which = np.unique(np.concatenate(lists), return_inverse=True)
         self.counts = np.bincount(self.which, weights=np.concatenate([unpack(r["counts"]) for r in rows]), minlength=len(self.words)).astype(np.int64)
+        self.rank = np.empty(len(self.words), np.int64)  # by falling count
+        self.rank[np.lexsort((self.words, -self.counts))] = np.arange(len(self.words))
 
     def answers(self) -> Iterator[tuple[int, np.ndarray]]:
         """Each block and the indices of the words it asked for."""
@@ -207,7 +210,7 @@ NUMBERED = "block long, part long, numbers binary, counts binary"
 
 def _number_words(key, table: pa.Table, parts: int) -> pa.Table:
     part, w = key[0].as_py(), Words(table)
-    return _table([(block, part, pack(own * parts + part), pack(w.counts[own])) for block, own in w.answers()], NUMBERED)
+    return _table([(block, part, pack(w.rank[own] * parts + part), pack(w.counts[own])) for block, own in w.answers()], NUMBERED)
 
 
 # Seating -----------------------------------------------------------------------------------------
@@ -229,21 +232,18 @@ def seat(c: np.ndarray, others: np.ndarray, base: np.ndarray, discount: float, s
     """Tables of dishes with ``c`` customers each, given the restaurant's ``others`` tables and the dish's ``base`` probability."""
     t = (c > 0).astype(np.int64)
     few = np.flatnonzero((c > 1) & (c <= STIRLING))
-    few = few[np.argsort(c[few], kind="stable")]
-    for a, b in zip(*map(np.ndarray.tolist, _runs(c[few])), strict=True):
-        n = int(c[few[a]])
-        for at in range(a, b, 1 << 18):
-            own = few[at : min(b, at + (1 << 18))]
-            log_base = np.log(base[own])
-            value = np.zeros(len(own))
-            best, pick = np.full(len(own), -np.inf), np.ones(len(own), np.int64)
-            for k in range(1, n + 1):  # the largest of values with Gumbel noise is a draw
-                value += np.log(strength + discount * (others[own] + k - 1)) + log_base
-                noisy = value + stirling[n, k] - np.log(-np.log(rng.random(len(own))))
-                better = noisy > best
-                best = np.where(better, noisy, best)
-                pick[better] = k
-            t[own] = pick
+    few = few[np.argsort(-c[few], kind="stable")]
+    size = c[few]
+    value, best, pick = np.zeros(len(few)), np.full(len(few), -np.inf), np.ones(len(few), np.int64)
+    log_base, taken = np.log(base[few]), others[few]
+    for k in range(1, int(size[0]) + 1 if len(few) else 1):  # the largest of values with Gumbel noise is a draw
+        n = int(np.searchsorted(-size, -k, side="right"))  # dishes with k customers or more
+        value[:n] += np.log(strength + discount * (taken[:n] + k - 1)) + log_base[:n]
+        noisy = value[:n] + stirling[size[:n], k] - np.log(-np.log(rng.random(n)))
+        better = noisy > best[:n]
+        best[:n][better] = noisy[better]
+        pick[:n][better] = k
+    t[few] = pick
     many = np.flatnonzero(c > STIRLING)
     if len(many):
         size, tables, done = c[many], np.ones(len(many), np.int64), np.ones(len(many), np.int64)
@@ -259,7 +259,7 @@ def seat(c: np.ndarray, others: np.ndarray, base: np.ndarray, discount: float, s
 
 # Parts of contexts ---------------------------------------------------------------------------------
 
-PAIRS = "part long, block long, contexts binary, followers binary, words binary, levels binary, counts binary, total long, vocabulary long"
+PAIRS = "part long, block long, contexts binary, followers binary, words binary, counts binary, levels binary, reach binary, total long, vocabulary long"
 
 
 def _send_pairs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
@@ -268,12 +268,15 @@ def _send_pairs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Re
         number = np.concatenate([unpack(r["numbers"]) for r in answers])
         count = np.concatenate([unpack(r["counts"]) for r in answers])
         level = np.round(np.log2(count + 1) * LEVELS_PER_DOUBLING).astype(np.int64)
+        order = np.argsort(number, kind="stable")  # rare words have large numbers, so a level reaches up to a number
+        first, end = _runs(np.minimum.accumulate(level[order]))
+        levels, reach = pack(np.minimum.accumulate(level[order])[first]), pack(number[order][end - 1])
         context, word, _, n = b.pairs()
         rows = []
         for x, y in zip(*map(np.ndarray.tolist, _runs(b.home[context])), strict=True):
             first, end = _runs(context[x:y])
             own = word[x:y]
-            rows.append((int(b.home[context[x]]), b.number, pack(number[context[x:y][first]]), pack(end - first), pack(number[own]), pack(level[own]), pack(n[x:y]), row["total"], row["vocabulary"]))
+            rows.append((int(b.home[context[x]]), b.number, pack(number[context[x:y][first]]), pack(end - first), pack(number[own]), pack(n[x:y]), levels, reach, row["total"], row["vocabulary"]))
         yield from _table(rows, PAIRS).to_batches()
 
 
@@ -282,7 +285,8 @@ class Restaurants:
 
     def __init__(self, part: int, table: pa.Table) -> None:
         self.rows = table.select(["block"]).to_pylist()
-        columns = {n: [unpack(x) for x in table.column(n).to_pylist()] for n in ("contexts", "followers", "words", "levels", "counts")}
+        columns = {n: [unpack(x) for x in table.column(n).to_pylist()] for n in ("contexts", "followers", "words", "levels", "reach", "counts")}
+        columns["levels"] = [x[np.minimum(np.searchsorted(r, w), len(r) - 1)] for x, r, w in zip(columns["levels"], columns["reach"], columns["words"], strict=True)]
         total = table.column("total")[0].as_py()
         self.contexts, self.followers = columns["contexts"], columns["followers"]
         context = np.concatenate([np.repeat(c, f) for c, f in zip(columns["contexts"], columns["followers"], strict=True)])
@@ -327,26 +331,32 @@ def _send_tables(key, table: pa.Table, parts: int) -> pa.Table:
     for x, y in zip(*map(np.ndarray.tolist, _runs(part)), strict=True):
         own = some[x:y]
         rows.append((int(part[x]), pack(words[own] // parts), pack(np.concatenate([s[own] for s in sums]))))
-    return _table(rows, TABLES)
+    out = _table(rows, TABLES)
+    del r
+    release()
+    return out
 
 
-SHARES = "block long, part long, own binary, parent binary"
+SHARES = "block long, part long, counts binary, seats binary, customers binary, tables binary"
 
 
 def _send_shares(key, table: pa.Table) -> pa.Table:
-    """For each block: every pair's share of its own customers, every context's share of its parent (for each sample)."""
+    """For each block: every pair's customers and tables (all samples together), every context's customers and tables (by sample)."""
     part = key[0].as_py()
     r = Restaurants(part, table)
-    t = np.mean(r.samples, axis=0)
-    own = ((r.c - D2 * t) / (T2 + r.customers[r.u])).astype("<f4")
-    parent = np.stack([(T2 + D2 * np.bincount(r.u, weights=s, minlength=len(r.names))) / (T2 + r.customers) for s in r.samples]).astype("<f4")
+    seats = np.sum(r.samples, axis=0)
+    customers = r.customers.astype(np.int64)
+    tables = np.stack([np.bincount(r.u, weights=s, minlength=len(r.names)).astype(np.int64) for s in r.samples])
     rows, at = [], 0
     for row, contexts, followers in zip(r.rows, r.contexts, r.followers, strict=True):
-        n = int(followers.sum())
+        own = r.which[at : at + int(followers.sum())]
         u = np.searchsorted(r.names, contexts)
-        rows.append((row["block"], part, own[r.which[at : at + n]].view(np.uint8).reshape(-1, 4).T.tobytes(), parent[:, u].tobytes()))
-        at += n
-    return _table(rows, SHARES)
+        rows.append((row["block"], part, pack(r.c[own]), pack(seats[own]), pack(customers[u]), pack(tables[:, u].ravel())))
+        at += len(own)
+    out = _table(rows, SHARES)
+    del r
+    release()
+    return out
 
 
 # The parent restaurant -------------------------------------------------------------------------------
@@ -361,6 +371,7 @@ class Parent:
         for r in tables.to_pylist():
             own, t = unpack(r["numbers"]), unpack(r["tables"]).reshape(SAMPLES, -1)
             self.customers[:, own] += t
+        self.customers = self.customers[:, words.rank]
         known = int((words.counts > 0).sum())
         rng = np.random.default_rng([part, 7])
         stirling = log_stirling(D1)
@@ -412,14 +423,16 @@ def _score(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordB
         total, vocabulary = row["total"], row["vocabulary"]
         context, word, which, _ = b.pairs()
         shares = sorted(row["shares"], key=lambda r: r["part"])
-        p = np.concatenate([np.ascontiguousarray(np.frombuffer(r["own"], np.uint8).reshape(4, -1).T).view("<f4").ravel() for r in shares]).astype(np.float64)
-        parent = np.concatenate([np.frombuffer(r["parent"], "<f4").reshape(SAMPLES, -1) for r in shares], axis=1)
+        c, seats, hosted = (np.concatenate([unpack(r[n]) for r in shares]) for n in ("counts", "seats", "customers"))
+        hosting = np.concatenate([unpack(r["tables"]).reshape(SAMPLES, -1) for r in shares], axis=1)
         first, end = _runs(context)
         u = np.repeat(np.arange(len(first)), end - first)
+        p = (c - D2 * seats / SAMPLES) / (T2 + hosted[u])
         for s in range(SAMPLES):
             spread = (T1 + D1 * row[f"tables{s}"]) / (vocabulary + 1)
             unigram = (customers[s] - D1 * tables[s] + spread) / (T1 + row[f"customers{s}"])
-            p += parent[s][u] * unigram[word] / SAMPLES
+            parent = (T2 + D2 * hosting[s]) / (T2 + hosted)
+            p += parent[u] * unigram[word] / SAMPLES
         log_p = np.append(0, np.cumsum(np.log10(p)[which]))
         base = np.append(0, np.cumsum(np.log10((count + 1) / (total + vocabulary + 1))[b.token]))
         known = np.append(0, np.cumsum((count > 0)[b.token]))
@@ -437,14 +450,15 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     own = narrow(docs)
     size = own.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     parts = max(1, min(MOST_PARTS, -(-int(size) // block_bytes)))
-    blocks = own.mapInArrow(partial(_pack_blocks, block_bytes=block_bytes), PACKED).repartition(parts, "block")
+    packed = own.mapInArrow(partial(_pack_blocks, block_bytes=block_bytes), PACKED)
+    blocks = packed.where("block is not null").repartition(parts, "block")  # joins ask for this: said here, all read one exchange
     reports = blocks.mapInArrow(partial(_report_words, parts=parts), WORDS).repartition(parts, "part")
     numbered = reports.groupBy("part").applyInArrow(lambda key, t: _number_words(key, t, parts), NUMBERED)
 
     def gathered(messages: DataFrame, name: str) -> DataFrame:
-        """All messages to a block in one row; together they are about as large as the block."""
+        """All messages to a block in one row; together they are about as large as the block. Dealt as the blocks are, so that a join leaves those as they lie."""
         rest = [c for c in messages.columns if c != "block"]
-        return messages.groupBy("block").agg(F.collect_list(F.struct(*rest)).alias(name))
+        return messages.where("block is not null").repartition(parts, "block").groupBy("block").agg(F.collect_list(F.struct(*rest)).alias(name))
 
     counted = reports.groupBy("part").applyInArrow(lambda key, t: _count_words(key, t), "total long, vocabulary long")
     totals = counted.agg(F.sum("total").alias("total"), F.sum("vocabulary").alias("vocabulary"))  # one row
