@@ -40,7 +40,7 @@ WORDS = 5
 ROWS = 3
 SIDE = 12
 MAP_WORDS = 64
-"""64-bit words of the bitmaps that bound an intersection from above."""
+"""64-bit words of the bitmaps that bound the difference of two sets from below."""
 HUBS = 8
 """A shingle's hubs in the first round, and how many times as many each next round has."""
 
@@ -101,9 +101,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = np.zeros((len(sets), 64 * MAP_WORDS), bool)
             for row, own in zip(bits, sets, strict=True):
                 row[own % np.uint64(64 * MAP_WORDS)] = True
-            excess = np.diff(ends) - bits.sum(axis=1)
             maps = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * MAP_WORDS), pa.array(np.packbits(bits, axis=1).view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), lists, maps, pa.array(excess, pa.int64())], ["id", "shingles", "map", "excess"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), lists, maps], ["id", "shingles", "map"])
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -113,9 +112,9 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def shingles(docs: DataFrame) -> DataFrame:
-    """(id, shingles, map, excess): the full sets, a bitmap of each, and how many shingles it has beyond its set bits."""
+    """(id, shingles, map): the full sets and a bitmap of each."""
     ship(docs.sparkSession)
-    return narrow(docs).mapInArrow(_sets, "id long, shingles array<long>, map array<long>, excess long")
+    return narrow(docs).mapInArrow(_sets, "id long, shingles array<long>, map array<long>")
 
 
 def bucket_members(reps: DataFrame) -> DataFrame:
@@ -157,14 +156,14 @@ def _first_links(members: DataFrame, sets: DataFrame, numerator: int, denominato
 
 
 def _rare_shingles(sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """(bucket, id, n, map, excess): of each set, those of its rarest n - ceil(t n) + 1 shingles that another set has."""
+    """(bucket, id, n, map): of each set, those of its rarest n - ceil(t n) + 1 shingles that another set has."""
     one = sets.select("id", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("bucket"))
     often = one.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
     mine = one.join(often, "bucket").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "bucket"))).alias("k"))  # a text's own shingles
     alone = F.col("n") - F.size("k")
     prefix = F.expr(f"n - (n * {numerator}L + {denominator - 1}) div {denominator}L + 1") - alone
     rare = mine.where(prefix > 0).select("id", "n", F.slice("k", F.lit(1), prefix.cast("int")).alias("k"))
-    return rare.join(sets.select("id", "map", "excess"), "id").select(F.explode("k").alias("x"), "id", "n", "map", "excess").select(F.col("x.bucket").alias("bucket"), "id", "n", "map", "excess")
+    return rare.join(sets.select("id", "map"), "id").select(F.explode("k").alias("x"), "id", "n", "map").select(F.col("x.bucket").alias("bucket"), "id", "n", "map")
 
 
 def _resolve(members: DataFrame, sets: DataFrame, found: DataFrame, comp: DataFrame, numerator: int, denominator: int) -> DataFrame:
@@ -177,13 +176,16 @@ def _resolve(members: DataFrame, sets: DataFrame, found: DataFrame, comp: DataFr
         members, left = cut_measured(members.join(split, "bucket"), "split", n=F.count("*"))
         if not left["n"]:
             return comp
-        order = F.struct(F.xxhash64("id", F.lit(turn)).alias("rank"), "id", "n", "comp", "map", "excess")
+        order = F.struct(F.xxhash64("id", F.lit(turn)).alias("rank"), "id", "n", "comp", "map")
         salt = F.pmod(F.xxhash64("id", F.lit(-1 - turn)), F.lit(hubs))
         chosen = members.groupBy("bucket", salt.alias("salt")).agg(F.min(order).alias("hub"))
-        chosen = chosen.select("bucket", *[F.col(f"hub.{c}").alias("hub" if c == "id" else f"hub_{c}") for c in ("id", "n", "comp", "map", "excess")])
-        # no intersection is larger than the bits in common and the smaller excess; the join itself drops what can't be similar
-        most = sum((F.bit_count(F.col("map")[i].bitwiseAND(F.col("hub_map")[i])) for i in range(1, MAP_WORDS)), F.bit_count(F.col("map")[0].bitwiseAND(F.col("hub_map")[0]))) + F.least("excess", "hub_excess")
-        possible = (F.col("comp") != F.col("hub_comp")) & (denominator * most >= numerator * (F.col("n") + F.col("hub_n") - most))
+        chosen = chosen.select("bucket", *[F.col(f"hub.{c}").alias("hub" if c == "id" else f"hub_{c}") for c in ("id", "n", "comp", "map")])
+        # bits that only one map has are shingles that only one set has, and similar sets have few of those:
+        # the join itself drops what differs too much, most of it by half of the bits
+        most = (denominator - numerator) * (F.col("n") + F.col("hub_n"))
+        differ = lambda words: sum((F.bit_count(F.col("map")[i].bitwiseXOR(F.col("hub_map")[i])) for i in words), F.lit(0))
+        few = lambda words: (denominator + numerator) * differ(words) <= most
+        possible = (F.col("comp") != F.col("hub_comp")) & few(range(MAP_WORDS // 2)) & few(range(MAP_WORDS))
         pairs = members.join(chosen, "bucket").where(possible).select(F.greatest("id", "hub").alias("u"), F.least("id", "hub").alias("v")).distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["u", "v"], "left_anti")
