@@ -40,6 +40,7 @@ ISLANDS = 2
 EPOCHS = 2
 GENERATIONS = 6
 POPULATION = 4
+MOST_TASKS = 2048
 KEEP_FILL = 0.995
 """Bins filled at least so far are final at their level."""
 LEVELS = 4
@@ -225,15 +226,16 @@ def _start(key, table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([sizes], pa.binary()), pa.array([lengths], pa.binary())], ["district", "sizes", "lengths"])
 
 
-def best_packings(items: DataFrame, capacity: int, islands: int, epochs: int) -> DataFrame:
-    """(district, sizes, lengths): the best packing of each district of ``items`` (district, length)."""
+def best_packings(items: DataFrame, districts: int, capacity: int, islands: int, epochs: int) -> DataFrame:
+    """(district, sizes, lengths): the best packing of each of the ``districts`` of ``items`` (district, length)."""
+    tasks = min(MOST_TASKS, districts * islands)  # the rows are few and small, the work on each is not
     started = items.groupBy("district").applyInArrow(lambda key, t: _start(key, t), "district long, sizes binary, lengths binary")
     held = started.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(islands)])))
     for epoch in range(epochs):
         if epoch:  # the elite moves along the ring, and stays too
             moved = held.withColumn("island", F.pmod(F.col("island") + 1, F.lit(islands)))
             held = held.union(moved)
-        held = held.groupBy("district", "island").applyInArrow(_epoch(capacity, epoch, islands), ISLAND)
+        held = held.repartition(tasks, "district", "island").groupBy("district", "island").applyInArrow(_epoch(capacity, epoch, islands), ISLAND)
         held = cut(held, f"islands-{epoch}") if epoch == epochs - 1 else held
     best = held.groupBy("district").agg(F.max(F.struct(-F.col("bins"), "fill", -F.col("island"), "sizes", "lengths")).alias("m"))
     return best.select("district", "m.sizes", "m.lengths")
@@ -277,7 +279,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, district: int = D
         last = level == LEVELS - 1 or count == 1
         spread = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(level)), F.lit(count)).cast("long")
         items = rest.select(spread.alias("district"), "doc_id", "piece", "start", "length", "ids_crc32")
-        best = best_packings(items, capacity, islands, epochs)
+        best = best_packings(items, count, capacity, islands, epochs)
         keep = 0.0 if last else KEEP_FILL
         placed = items.groupBy("district").cogroup(best.groupBy("district")).applyInArrow(_placer(capacity, keep), PLACED)
         placed = cut(placed, f"placed-{level}")
