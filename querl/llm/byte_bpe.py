@@ -22,7 +22,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from querl.llm.common import flat, narrow, ship, slices
+from querl.llm.common import flat, narrow, release, ship, slices
 from querl.llm.tokens import ChunkEncoder
 
 KEYS_PER_BUCKET = 4
@@ -195,6 +195,7 @@ def _round_trip(batches: Iterator[pa.RecordBatch], path: str, pattern: str, tabl
                 [batch.column("doc_id").slice(a, b - a), pa.array(counts, pa.int64()), pa.array(hashes), pa.array(decoded)],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        release()
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:

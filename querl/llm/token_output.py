@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querl.llm.common import cut, flat, narrow, ship, slices
+from querl.llm.common import cut, flat, narrow, release, ship, slices
 from querl.llm.tokens import library_encoder
 
 SHARD_TOKENS = 1 << 20
@@ -76,6 +76,7 @@ def _tokenize(batches: Iterator[pa.RecordBatch], path: str, end_id: int, dtype:
                 [batch.column("doc_id").slice(a, b - a), pa.array(counts + 1, pa.int64()), pa.array(rows, pa.binary())],
                 ["doc_id", "n_tokens", "ids"],
             )
+        release()
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int, wide: bool = False) -> DataFrame:
@@ -135,6 +136,7 @@ def _write_shards(batches: Iterator[pa.RecordBatch], by_rank: np.ndarray, dtype:
             held += ns[i]
             if held >= SHARD_TOKENS:
                 yield shard()
+                release()
                 seq, start, held, docs, counts, ids = seq + 1, start + held, 0, [], [], []
     if docs:
         yield shard()
@@ -155,7 +157,8 @@ def write_corpus(docs: DataFrame, path: str, end_id: int, wide: bool = False) ->
 
 def _read_shards(batches: Iterator[pa.RecordBatch], by_rank: np.ndarray, base: dict[int, int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
             ids = by_rank[decode_ranks(row["control"], row["data"], row["n_tokens"])].astype("<u4")
             counts = np.array(row["counts"], np.int64)
             ends = np.cumsum(counts)
@@ -170,6 +173,7 @@ def _read_shards(batches: Iterator[pa.RecordBatch], by_rank: np.ndarray, base: d
                 ],
                 ["doc_id", "start", "n_tokens", "ids_crc32"],
             )
+            release()
 
 
 def read_corpus(shards: DataFrame, ranks: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ class ChunkEncoder:
     between ASCII white space, which the vocabulary drops. The table restarts beyond ``limit`` chunks.
     """
 
-    def __init__(self, encode_many: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], spaced: bool, limit: int = 2_000_000) -> None:
+    def __init__(self, encode_many: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], spaced: bool, limit: int = 1_500_000) -> None:
         self.encode_many, self.spaced, self.limit = encode_many, spaced, limit
         self._restart()
 
