@@ -30,8 +30,8 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one of the smallest doc_id."""
-    kept = minhash_dedup.dedup(docs).where("kept").select("doc_id").distinct()
+    """One document of each near-duplicate group (80 percent of five-word shingles) stays: the one of the smallest doc_id."""
+    kept = minhash_dedup.dedup(docs, 80, 100).where("kept").select("doc_id").distinct()
     known = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return known.union(docs.where("doc_id is null")).select(*COLUMNS)
 

@@ -2,16 +2,17 @@
 
 A text's set holds its distinct 5-word shingles (words of bytes other than 0x20 and 0x09-0x0D, A-Z
 folded); texts of fewer words have their sequence as one shingle. Texts of equal sets form a class,
-which is handled through its smallest doc_id. Two small collections, each of SIDE keys of ROWS
+which is handled through its smallest doc_id. Two small collections, each of ``side`` keys of ROWS
 minhashes, are tensored: each pair of a key of the first and a key of the second names a bucket of a
-table, so 2 * SIDE * ROWS minhashes serve SIDE * SIDE tables of 2 * ROWS rows. Two texts of
-similarity s meet in some table with probability (1 - (1 - s**ROWS)**SIDE)**2: 0.99997 at 0.85.
-Only keys that occur twice are tensored.
+table, so 2 * side * ROWS minhashes serve side * side tables of 2 * ROWS rows. Two texts of
+similarity s meet in some table with probability (1 - (1 - s**ROWS)**side)**2; ``side`` is the least
+that leaves at most MISS to a pair at the threshold: 12 at 0.85, 16 at 0.80. Only keys that occur
+twice are tensored.
 
 Buckets are resolved without all pairs. First every text is compared, on full sets, with one hub: of
 the smallest texts of its buckets, the one it shares most buckets with. Texts of buckets that still
 hold several components are resolved exactly, by prefixes: ordered by how rare they are among these
-texts, two similar sets share one of the first n - ceil(0.85 n) + 1 shingles of each. The texts that
+texts, two similar sets share one of the first n - ceil(t n) + 1 shingles of each at threshold t. The texts that
 share such a shingle are compared with a few hubs of other components, unless bitmaps of the sets
 show that they can't be similar; hubs retire, and this goes on
 with more hubs until every two texts of a shingle are in one component or have been compared.
@@ -25,7 +26,7 @@ table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -38,22 +39,36 @@ from querl.llm.vec import mix, shingle_sets
 
 WORDS = 5
 ROWS = 3
-SIDE = 12
+MISS = 2.5e-5
+"""The most a pair at the threshold may have as its probability to meet in no table."""
 MAP_WORDS = 64
 """64-bit words of the bitmaps that bound the difference of two sets from below."""
 HUBS = 8
 """A shingle's hubs in the first round, and how many times as many each next round has."""
 
-_rng = np.random.default_rng(85)
-FACTORS = _rng.integers(1, 1 << 63, 2 * SIDE * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-SHIFTS = _rng.integers(0, 1 << 63, 2 * SIDE * ROWS, dtype=np.uint64)
+@cache
+def side_of(numerator: int, denominator: int) -> int:
+    """The keys a collection needs for pairs at the threshold to miss every table with probability MISS at most."""
+    side, apart = 1, 1 - (numerator / denominator) ** ROWS
+    while 1 - (1 - apart**side) ** 2 > MISS:
+        side += 1
+    return side
 
 
-def minhashes(values: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+@cache
+def hash_functions(side: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and shifts of the 2 * side * ROWS hash functions."""
+    rng = np.random.default_rng(85)
+    factors = rng.integers(1, 1 << 63, 2 * side * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return factors, rng.integers(0, 1 << 63, 2 * side * ROWS, dtype=np.uint64)
+
+
+def minhashes(values: np.ndarray, firsts: np.ndarray, side: int) -> np.ndarray:
     """For sets back to back (none empty), the minimum of every hash function over each."""
-    out = np.empty((len(firsts), len(FACTORS)), np.uint64)
+    factors, shifts = hash_functions(side)
+    out = np.empty((len(firsts), len(factors)), np.uint64)
     work = np.empty_like(values)
-    for k, (a, b) in enumerate(zip(FACTORS, SHIFTS, strict=True)):
+    for k, (a, b) in enumerate(zip(factors, shifts, strict=True)):
         np.multiply(values, a, out=work)
         np.add(work, b, out=work)
         out[:, k] = np.minimum.reduceat(work, firsts)
@@ -61,30 +76,30 @@ def minhashes(values: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 
 
 def band_keys(mins: np.ndarray) -> np.ndarray:
-    """The 2 * SIDE keys of ROWS minhashes each."""
-    m = mins.reshape(len(mins), 2 * SIDE, ROWS)
+    """The keys of ROWS minhashes each."""
+    m = mins.reshape(len(mins), -1, ROWS)
     key = np.zeros(m.shape[:2], np.uint64)
     for r in range(ROWS):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + m[:, :, r])
     return key
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch(batches: Iterator[pa.RecordBatch], side: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = flat(batch.column("text"))
         for a, b in slices(offsets):
             sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], WORDS)
             sizes = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(sizes)
-            keys = np.zeros((len(sets), 2 * SIDE), np.uint64)
+            keys = np.zeros((len(sets), 2 * side), np.uint64)
             sums = np.zeros((len(sets), 2), np.uint64)
             if len(full):
                 values = np.concatenate(sets)
                 firsts = np.cumsum(sizes[full]) - sizes[full]
-                keys[full] = band_keys(minhashes(values, firsts))
+                keys[full] = band_keys(minhashes(values, firsts, side))
                 sums[full, 0] = np.add.reduceat(mix(values ^ np.uint64(0x5851F42D4C957F2D)), firsts)
                 sums[full, 1] = np.add.reduceat(mix(values ^ np.uint64(0x14057B7EF767814F)), firsts)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * 2 * SIDE), pa.array(keys.ravel().view(np.int64)))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * 2 * side), pa.array(keys.ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").slice(a, b - a), pa.array(sizes), pa.array(sums[:, 0].view(np.int64)), pa.array(sums[:, 1].view(np.int64)), lists],
                 ["doc_id", "n_shingles", "set_a", "set_b", "keys"],
@@ -105,10 +120,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), lists, maps], ["id", "shingles", "map"])
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, side: int) -> DataFrame:
     """(doc_id, n_shingles, set_a, set_b, keys): set size, 128-bit fingerprint of the set, band keys."""
     ship(docs.sparkSession)
-    return narrow(docs).mapInArrow(_sketch, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>")
+    return narrow(docs).mapInArrow(partial(_sketch, side=side), "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>")
 
 
 def shingles(docs: DataFrame) -> DataFrame:
@@ -117,17 +132,17 @@ def shingles(docs: DataFrame) -> DataFrame:
     return narrow(docs).mapInArrow(_sets, "id long, shingles array<long>, map array<long>")
 
 
-def bucket_members(reps: DataFrame) -> DataFrame:
+def bucket_members(reps: DataFrame, side: int) -> DataFrame:
     """(bucket, id, n): for tables made of the keys that at least two of ``reps`` have, buckets of at least two."""
     one = reps.select("doc_id", "n_shingles", F.posexplode("keys").alias("place", "key"))
     twice = one.groupBy("place", "key").agg(F.count("*").alias("c")).where("c > 1").select("place", "key")
     mine = (
         one.join(twice, ["place", "key"])
         .groupBy("doc_id", "n_shingles")
-        .agg(F.collect_list(F.struct("place", "key")).alias("k"))  # 2 * SIDE at most
+        .agg(F.collect_list(F.struct("place", "key")).alias("k"))  # 2 * side at most
     )
-    first = F.filter("k", lambda x: x["place"] < SIDE)
-    second = F.filter("k", lambda x: x["place"] >= SIDE)
+    first = F.filter("k", lambda x: x["place"] < side)
+    second = F.filter("k", lambda x: x["place"] >= side)
     pairs = F.flatten(F.transform(first, lambda a: F.transform(second, lambda b: F.xxhash64(a["place"], a["key"], b["place"], b["key"]))))
     rows = mine.select(F.explode(pairs).alias("bucket"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
     rows = cut(rows, "members")  # read twice below
@@ -200,7 +215,7 @@ def _resolve(members: DataFrame, sets: DataFrame, found: DataFrame, comp: DataFr
 
 def near_components(docs: DataFrame, reps: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """(id, component) of the representatives that have links."""
-    members = cut(bucket_members(reps), "buckets")
+    members = cut(bucket_members(reps, side_of(numerator, denominator)), "buckets")
     ids = members.select(F.col("id").alias("doc_id")).distinct()
     wanted = narrow(docs).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = cut(shingles(wanted), "sets")
@@ -219,7 +234,7 @@ def dedup(docs: DataFrame, numerator: int = 85, denominator: int = 100) -> DataF
     component_id is the smallest doc_id reachable; kept is true for that document.
     """
     same = ["n_shingles", "set_a", "set_b"]
-    all_docs = cut(sketches(docs), "sketches")
+    all_docs = cut(sketches(docs, side_of(numerator, denominator)), "sketches")
     whole = all_docs.where("n_shingles > 0 and doc_id is not null")
     reps = whole.groupBy(*same).agg(F.min(F.struct("doc_id", "keys")).alias("r")).select(*same, "r.doc_id", "r.keys")
     reps = cut(reps.dropDuplicates(["doc_id"]), "reps")

@@ -70,3 +70,11 @@ def test_sample_table(spark):
     docs = documents(spark, "/root/testdata/sf0.01")
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     assert rows_of(md.dedup(docs)) == brute(rows)
+
+
+def test_tables_follow_the_threshold(spark):
+    for side, percent in ((12, 85), (16, 80)):
+        assert md.side_of(percent, 100) == side
+        assert 1 - (1 - (1 - (percent / 100) ** md.ROWS) ** side) ** 2 <= md.MISS
+    docs = documents(spark, "/root/testdata/sf0.001")
+    assert {len(r["keys"]) for r in md.sketches(docs, 16).select("keys").collect()} == {32}

@@ -4,6 +4,7 @@ import corpus_pipeline as cp
 from querl.llm import pii
 from querl.llm.common import documents
 from tests.llm.test_minhash_dedup import brute as brute_groups
+from tests.llm.test_minhash_dedup import shingle_set
 from tests.llm.test_packing import check as check_packing
 from tests.llm.test_pii import plain_spans
 
@@ -72,3 +73,24 @@ def test_run(spark):
     got = cp.run(spark, SF)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(got.columns) and got.count() > 100
     assert got.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+def test_near_duplicates_at_80_percent(spark):
+    docs = documents(spark, "/root/testdata/sf0.01").select(*cp.COLUMNS)
+    sets = {r["doc_id"]: shingle_set(r["text"]) for r in docs.collect()}
+    ids = sorted(d for d in sets if sets[d])
+    parent = {d: d for d in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            x, y = sets[a], sets[b]
+            if 100 * min(len(x), len(y)) >= 80 * max(len(x), len(y)) and 100 * len(x & y) >= 80 * len(x | y):
+                ra, rb = root(a), root(b)
+                parent[max(ra, rb)] = min(ra, rb)
+    got = {r["doc_id"] for r in dict(cp.STAGES)["minhash_dedup"](spark, docs, SF).collect()}
+    assert got == {d for d in sets if root(d) == d}
