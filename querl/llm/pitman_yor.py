@@ -259,7 +259,7 @@ def seat(c: np.ndarray, others: np.ndarray, base: np.ndarray, discount: float, s
 
 # Parts of contexts ---------------------------------------------------------------------------------
 
-PAIRS = "part long, block long, contexts binary, followers binary, words binary, counts binary, levels binary, reach binary, total long, vocabulary long"
+PAIRS = "part long, block long, contexts binary, followers binary, words binary, counts binary, levels binary, total long, vocabulary long"
 
 
 def _send_pairs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
@@ -268,15 +268,13 @@ def _send_pairs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Re
         number = np.concatenate([unpack(r["numbers"]) for r in answers])
         count = np.concatenate([unpack(r["counts"]) for r in answers])
         level = np.round(np.log2(count + 1) * LEVELS_PER_DOUBLING).astype(np.int64)
-        order = np.argsort(number, kind="stable")  # rare words have large numbers, so a level reaches up to a number
-        first, end = _runs(np.minimum.accumulate(level[order]))
-        levels, reach = pack(np.minimum.accumulate(level[order])[first]), pack(number[order][end - 1])
         context, word, _, n = b.pairs()
         rows = []
         for x, y in zip(*map(np.ndarray.tolist, _runs(b.home[context])), strict=True):
             first, end = _runs(context[x:y])
             own = word[x:y]
-            rows.append((int(b.home[context[x]]), b.number, pack(number[context[x:y][first]]), pack(end - first), pack(number[own]), pack(n[x:y]), levels, reach, row["total"], row["vocabulary"]))
+            numbers, one = np.unique(number[own], return_index=True)  # the receiver finds the same numbers in the same order
+            rows.append((int(b.home[context[x]]), b.number, pack(number[context[x:y][first]]), pack(end - first), pack(number[own]), pack(n[x:y]), pack(level[own[one]]), row["total"], row["vocabulary"]))
         yield from _table(rows, PAIRS).to_batches()
 
 
@@ -285,8 +283,8 @@ class Restaurants:
 
     def __init__(self, part: int, table: pa.Table) -> None:
         self.rows = table.select(["block"]).to_pylist()
-        columns = {n: [unpack(x) for x in table.column(n).to_pylist()] for n in ("contexts", "followers", "words", "levels", "reach", "counts")}
-        columns["levels"] = [x[np.minimum(np.searchsorted(r, w), len(r) - 1)] for x, r, w in zip(columns["levels"], columns["reach"], columns["words"], strict=True)]
+        columns = {n: [unpack(x) for x in table.column(n).to_pylist()] for n in ("contexts", "followers", "words", "levels", "counts")}
+        columns["levels"] = [x[np.unique(w, return_inverse=True)[1]] for x, w in zip(columns["levels"], columns["words"], strict=True)]
         total = table.column("total")[0].as_py()
         self.contexts, self.followers = columns["contexts"], columns["followers"]
         context = np.concatenate([np.repeat(c, f) for c, f in zip(columns["contexts"], columns["followers"], strict=True)])

@@ -4,6 +4,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import functions as F
 
 from querl.llm import pitman_yor as py
@@ -99,3 +101,31 @@ def test_odd_rows(spark):
 
 def test_empty_table(spark):
     assert py.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_base_is_each_words_own_frequency(spark, monkeypatch):
+    # many parts: numbers mix the parts, so only a word's own level tells its frequency
+    rng, parts = np.random.default_rng(2), 37
+    text = b" ".join(b"w%d" % x for x in np.minimum(rng.zipf(1.3, 30_000), 3000))
+    packed = pa.RecordBatch.from_pylist([{"doc_id": 0, "text": text.decode()}])
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    [row] = [r for b in py._pack_blocks(iter([packed]), 1 << 20) for r in b.to_pylist()]
+    reports = pa.Table.from_batches(py._report_words(iter([pa.RecordBatch.from_pylist([row])]), parts))
+    answers, count = [], {}
+    for part in range(parts):
+        own = reports.filter(pa.compute.equal(reports["part"], part))
+        if len(own):
+            answers += py._number_words([pa.scalar(part)], own, parts).select(["part", "numbers", "counts"]).to_pylist()
+            count |= dict(zip(py.unpack(answers[-1]["numbers"]), py.unpack(answers[-1]["counts"])))
+    total = sum(count.values())
+    sent = pa.Table.from_batches(py._send_pairs(iter([pa.RecordBatch.from_pylist([row | {"answers": answers, "total": total, "vocabulary": len(count)}])]), parts))
+    bases = []
+    monkeypatch.setattr(py, "seat", lambda c, others, base, *rest: bases.append(base) or np.ones_like(c))
+    seen = 0
+    for home in set(sent["part"].to_pylist()):
+        bases.clear()
+        r = py.Restaurants(home, sent.filter(pa.compute.equal(sent["part"], home)))
+        want = np.array([(count[w] + 1) / (total + 1) for w in r.word[r.c > 1]])
+        assert np.allclose(bases[0], want, rtol=0.05)
+        seen += len(want)
+    assert seen > 500
