@@ -143,7 +143,7 @@ CATALOGUE: dict[str, Query] = {
     "join_composite": _same("select s_suppkey, c_custkey from supplier, customer where s_nationkey = c_nationkey and s_suppkey = c_custkey"),
     "join_expr_key": _same("select o_orderkey, c_custkey from orders, customer where o_custkey + 1 = c_custkey"),
     "join_cyclic": _same(
-        "select c_custkey, s_suppkey, n_name from customer, supplier, nation where c_nationkey = s_nationkey and s_nationkey = n_nationkey and c_nationkey = n_nationkey and c_custkey < 100"
+        "select c_custkey, s_suppkey, n_name from customer, supplier, nation where c_nationkey = s_nationkey and s_nationkey = n_nationkey and c_nationkey = n_nationkey"
     ),
     "join_theta": _same("select n_nationkey, r_regionkey from nation, region where n_nationkey < r_regionkey"),
     "join_cross": _same("select n_name, r_name from nation, region"),

@@ -46,3 +46,9 @@ def test_results_are_not_empty(spark):
 def test_truncation_differs_from_rounding(spark):
     r = catalogue.QUERIES["agg_avg_trunc"](spark, SF).first()
     assert isinstance(r["q"], Decimal)
+
+
+def test_cyclic_join_has_all_customers(spark, duck):
+    [want] = duck.sql("select count(*), count(distinct c_custkey) from customer, supplier, nation where c_nationkey = s_nationkey and s_nationkey = n_nationkey").fetchall()
+    got = catalogue.QUERIES["join_cyclic"](spark, SF)
+    assert (got.count(), got.select("c_custkey").distinct().count()) == want
