@@ -2,7 +2,11 @@
 
 A text is split at places where no pre-token of the vocabulary can cross, each distinct chunk is
 encoded once and the ids of texts are gathered from a table. The ids are those of the whole text.
-Chunks are told apart by 64-bit hashes, found in an open-addressing table of numpy arrays.
+Chunks are found by 64-bit hashes in an open-addressing table of numpy arrays, and every hit's bytes are
+compared: a chunk whose hash belongs to another one is encoded by itself.
+
+Strings of special tokens in a text give their ids, as the library does by default; they end the text
+before them and begin a new one.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from querl.llm.vec import BYTE_VALUES, prefix_sums, ragged, run_hashes, word_bounds
+from querl.llm.vec import hash_words, ragged, run_words, word_bounds
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -69,16 +73,22 @@ class ChunkEncoder:
 
     spaced: chunks keep the space before them (byte-level vocabularies); else chunks are the words
     between ASCII white space, which the vocabulary drops. The table restarts beyond ``limit`` chunks.
+    special: the strings that have ids of their own.
     """
 
-    def __init__(self, encode_many: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], spaced: bool, limit: int = 1_500_000) -> None:
-        self.encode_many, self.spaced, self.limit = encode_many, spaced, limit
+    def __init__(
+        self, encode_many: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], spaced: bool, limit: int = 1_500_000, special: dict[bytes, int] | None = None
+    ) -> None:
+        self.encode_many, self.spaced, self.limit, self.special = encode_many, spaced, limit, special or {}
         self._restart()
 
     def _restart(self) -> None:
         self.table = HashTable(self.limit)
         self.ids = np.zeros(1 << 16, np.uint32)
         self.offsets = np.zeros(1 << 12, np.int64)
+        self.words = np.zeros(1 << 16, np.uint64)  # the chunks themselves, as run_words() has them
+        self.words_at = np.zeros(1 << 12, np.int64)
+        self.lengths = np.zeros(1 << 12, np.int64)
 
     def _chunks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of the chunks, and the index of each text's first (len+1 values)."""
@@ -93,28 +103,69 @@ class ChunkEncoder:
         starts = np.flatnonzero(begin)
         return starts, np.append(starts[1:], len(data))[: len(starts)], np.searchsorted(starts, offsets)
 
-    def _learn(self, chunks: list[bytes], hashes: np.ndarray) -> None:
-        found, lengths = self.encode_many(chunks)
+    def _learn(self, chunks: list[bytes], hashes: np.ndarray, words: np.ndarray, n_words: np.ndarray) -> None:
+        found, n_ids = self.encode_many(chunks)
         have = self.table.size
-        at = int(self.offsets[have])
-        end = at + len(found)
-        if end > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(end, len(self.ids) * 3 // 2) - len(self.ids), np.uint32)])
-        if have + len(chunks) + 1 > len(self.offsets):
-            self.offsets = np.concatenate([self.offsets, np.zeros(max(have + len(chunks) + 1, len(self.offsets) * 3 // 2) - len(self.offsets), np.int64)])
-        self.offsets[have + 1 : have + len(chunks) + 1] = at + np.cumsum(lengths)
-        self.ids[at:end] = found
+        to = have + len(chunks)
+        self.offsets, self.words_at, self.lengths = (_grown(x, to + 1) for x in (self.offsets, self.words_at, self.lengths))
+        at, words_at = int(self.offsets[have]), int(self.words_at[have])
+        self.ids, self.words = _grown(self.ids, at + len(found)), _grown(self.words, words_at + len(words))
+        self.offsets[have + 1 : to + 1] = at + np.cumsum(n_ids)
+        self.words_at[have + 1 : to + 1] = words_at + np.cumsum(n_words)
+        self.lengths[have:to] = [len(c) for c in chunks]
+        self.ids[at : at + len(found)] = found
+        self.words[words_at : words_at + len(words)] = words
         self.table.add(hashes)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts back to back, and each text's number of ids."""
+        at, end, special = self._find_special(data, offsets)
+        if not len(at):
+            return self._encode(data, offsets)
+        segments = np.sort(np.concatenate([offsets, at, end]))
+        ids, counts = self._encode(data, segments)
+        own = np.zeros(len(segments) - 1, bool)
+        which = np.searchsorted(segments, at, side="right") - 1  # the segment that is the string itself
+        own[which] = True
+        rest = ids[np.repeat(~own, counts)]
+        counts[own] = 1
+        out = np.empty(int(counts.sum()), np.uint32)
+        begin = np.cumsum(counts) - counts
+        single = np.zeros(len(out), bool)
+        single[begin[which]] = True
+        out[begin[which]] = special
+        out[~single] = rest
+        total = np.append(0, np.cumsum(counts))
+        return out, np.diff(total[np.searchsorted(segments, offsets)])
+
+    def _find_special(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and ids of the special strings that lie within a text, leftmost first and longest at a place."""
+        found = []
+        raw = data.tobytes() if self.special else b""
+        for string, number in self.special.items():
+            at = raw.find(string)
+            while at >= 0:
+                found.append((at, -len(string), number))
+                at = raw.find(string, at + 1)
+        kept, last = [], 0
+        for at, less, number in sorted(found):
+            if at >= last and at - less <= offsets[np.searchsorted(offsets, at, side="right")]:
+                kept.append((at, at - less, number))
+                last = at - less
+        return tuple(np.array([k[i] for k in kept], np.int64) for i in range(3))
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts, ends, first = self._chunks(data, offsets)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
-        h = run_hashes(prefix_sums(data, BYTE_VALUES), starts, ends)
+        words, place, words_first = run_words(data, starts, ends)
+        n_words = np.diff(np.append(words_first, len(words)))
+        h = hash_words(words, place, words_first, ends - starts)
         h[h == 0] = 1
         number = self.table.find(h)
         miss = np.flatnonzero(number < 0)
+        raw = data.tobytes() if len(miss) else b""
+        cut = lambda at: [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
         if len(miss):
             new, at = np.unique(h[miss], return_index=True)
             if self.table.size + len(new) > self.limit:
@@ -122,15 +173,33 @@ class ChunkEncoder:
                 self.table = HashTable(max(self.limit, len(starts)))
                 miss = np.arange(len(h))
                 new, at = np.unique(h, return_index=True)
-            raw = data.tobytes()
             at = miss[at]
-            self._learn([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], new)
+            self._learn(cut(at), new, words[ragged(words_first[at], n_words[at])], n_words[at])
             number[miss] = self.table.find(h[miss])
+        other = self.lengths[number] != ends - starts  # the hash is another chunk's
+        alike = np.flatnonzero(~other)
+        here, there = ragged(words_first[alike], n_words[alike]), ragged(self.words_at[number[alike]], n_words[alike])
+        differ = np.flatnonzero(words[here] != self.words[there])
+        if len(differ):
+            other[alike[np.searchsorted(np.cumsum(n_words[alike]), differ, side="right")]] = True
         begin = self.offsets[number]
         lengths = self.offsets[number + 1] - begin
+        ids = self.ids
+        if other.any():
+            raw = raw or data.tobytes()
+            at = np.flatnonzero(other)
+            found, n_ids = self.encode_many(cut(at))
+            used = int(self.offsets[self.table.size])
+            ids = np.concatenate([ids[:used], found.astype(np.uint32)])
+            begin[at], lengths[at] = used + np.cumsum(n_ids) - n_ids, n_ids
         total = np.zeros(len(starts) + 1, np.int64)
         np.cumsum(lengths, out=total[1:])
-        return self.ids[ragged(begin, lengths)], np.diff(total[first])
+        return ids[ragged(begin, lengths)], np.diff(total[first])
+
+
+def _grown(x: np.ndarray, n: int) -> np.ndarray:
+    """``x`` with room for at least ``n`` values."""
+    return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, len(x) * 3 // 2) - len(x), x.dtype)])
 
 
 _encoders: dict[tuple[str, bool], ChunkEncoder] = {}
@@ -142,7 +211,7 @@ def library_encoder(path: str, spaced: bool) -> ChunkEncoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        special = {t.content.encode(): i for i, t in tokenizer.get_added_tokens_decoder().items()}
 
         def encode_many(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             texts = [c.decode() for c in chunks]
@@ -154,5 +223,5 @@ def library_encoder(path: str, spaced: bool) -> ChunkEncoder:
                 lengths.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(some)))
             return np.concatenate(ids), np.concatenate(lengths)
 
-        _encoders[path, spaced] = ChunkEncoder(encode_many, spaced)
+        _encoders[path, spaced] = ChunkEncoder(encode_many, spaced, special=special)
     return _encoders[path, spaced]

@@ -1,8 +1,11 @@
 """Words and their hashes over many texts at once, as numpy arrays.
 
 A word is a maximal run of bytes other than 0x20 and 0x09-0x0D; hashing folds A-Z to lower case.
-The hash of a byte run is a polynomial modulo 2**64 over random byte values, got from prefix sums,
-then mixed with the run's length.
+Runs of any length are hashed by their 8-byte words (hash_runs()): each is mixed with a key of its
+place, so runs of up to 8 bytes and one length never share a hash. Short windows that overlap, such as
+grams and suffixes of at most some hundred bytes, are hashed from prefix sums (gram_hashes(),
+run_hashes()), as polynomials modulo 2**64 over random byte values; such a polynomial is not fit for
+long runs, for which equal hashes of unlike strings can be written down whatever the base.
 """
 
 from __future__ import annotations
@@ -13,6 +16,9 @@ _rng = np.random.default_rng(0x5EED)
 BYTE_VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 FOLDED_VALUES = BYTE_VALUES.copy()
 FOLDED_VALUES[65:91] = BYTE_VALUES[97:123]
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
+TAIL_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 PLACE = (_rng.integers(1, 1 << 63, 8, dtype=np.uint64) * np.uint64(2)) + np.uint64(1)
@@ -69,7 +75,7 @@ def prefix_sums(data: np.ndarray, values: np.ndarray = FOLDED_VALUES) -> np.ndar
 
 
 def run_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte runs [start, end)."""
+    """64-bit hashes of the byte runs [start, end), of a few hundred bytes at most."""
     h = sums[ends] - sums[starts]
     if len(starts):
         h *= powers(BASE_INVERSE, int(starts.max()) + 1)[starts]
@@ -107,6 +113,36 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def run_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs [start, end) (none empty) as little-endian 8-byte words, zeros after a run's end.
+
+    Gives the words of all runs back to back, each word's place in its run and the index of each run's first word.
+    """
+    count = (ends - starts + 7) >> 3
+    first = np.cumsum(count) - count
+    place = ragged(np.zeros(len(count), np.int64), count)
+    at = np.repeat(starts, count) + 8 * place
+    padded = np.append(data, np.zeros(8, np.uint8))
+    words = np.ndarray(len(data) + 1, "<u8", buffer=padded, strides=(1,))[at]
+    words &= TAIL_MASKS[np.minimum(np.repeat(ends, count) - at, 8)]
+    return words, place, first
+
+
+def hash_words(words: np.ndarray, place: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs that run_words() gave, ``lengths`` bytes each."""
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    keyed = words ^ mix(place.astype(np.uint64) + np.uint64(BASE))
+    h = np.add.reduceat(mix_own(keyed), first)
+    h += lengths.astype(np.uint64) * np.uint64(LENGTH_FACTOR)
+    return mix_own(h)
+
+
+def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte runs [start, end), which may be long."""
+    return hash_words(*run_words(data, starts, ends), ends - starts)
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every case-folded word, and the index of each text's first word."""
     starts, ends, first = word_bounds(data, offsets)
@@ -115,8 +151,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     while at < len(starts):  # a stretch of bytes at a time, or one word
         low = int(starts[at])
         to = max(at + 1, int(np.searchsorted(ends, low + STRETCH, side="right")))
-        sums = prefix_sums(data[low : int(ends[to - 1])])
-        out[at:to] = run_hashes(sums, starts[at:to] - low, ends[at:to] - low)
+        out[at:to] = hash_runs(FOLD[data[low : int(ends[to - 1])]], starts[at:to] - low, ends[at:to] - low)
         at = to
     return out, first
 

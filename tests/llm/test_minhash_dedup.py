@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from querl.llm import minhash_dedup as md
 from querl.llm.common import documents
 from querl.llm.components import components
+from tests.llm.test_tokens import thue_morse
 
 
 def shingle_set(text):
@@ -62,6 +63,11 @@ def test_against_brute_force(spark):
     assert rows_of(md.dedup(df)) == brute(rows)
 
 
+def test_words_of_equal_polynomials(spark):
+    rows = list(enumerate(t for n in (1024, 65536) for t in thue_morse(n)))
+    assert rows_of(md.dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))) == brute(rows)
+
+
 def test_empty_table(spark):
     assert md.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -15,7 +15,6 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 def check(rows, got, capacity):
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     want = []
     for d, t in rows:
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [0]
@@ -44,7 +43,7 @@ def test_sample_table(spark):
 
 
 def test_odd_rows(spark):
-    rows = [(1, None), (2, ""), (None, "a b"), (3, "word " * 5000), (4, "x"), (4, "x"), (5, "y " * 2047)]
+    rows = [(1, None), (2, ""), (None, "a b"), (3, "word " * 5000), (4, "x"), (4, "x"), (5, "y " * 2047), (6, "a <|endoftext|>b<|startoftext|> c")]
     got = pk.pack(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()
     check(rows, got, pk.CAPACITY)
 

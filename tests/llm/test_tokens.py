@@ -11,6 +11,7 @@ from querl.llm import byte_bpe as bb
 from querl.llm import token_output as to
 from querl.llm.common import documents
 from querl.llm.tokens import ChunkEncoder, HashTable, library_encoder
+from querl.llm.vec import hash_runs
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SF = "/root/testdata/sf0.001"
@@ -27,6 +28,12 @@ def odd_texts(n, extra=""):
     return ["".join(rng.choice(letters) for _ in range(rng.randint(0, 14))) for _ in range(n)]
 
 
+def thue_morse(n):
+    """Two strings of ``n`` letters whose polynomial hashes modulo 2**64 are equal, whatever the base."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
 @pytest.fixture(scope="module")
 def library():
     tokens = bb.read_ranks(RANKS)
@@ -59,13 +66,44 @@ def test_bpe_is_the_library_s(library):
 def test_library_encoder_gives_ids_of_whole_texts(name, spaced):
     path = public_tokenizers.path(name)
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    texts = odd_texts(4000)
+    rng = random.Random(5)
+    specials = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|"]
+    texts = [*odd_texts(4000), *specials, *("".join(rng.choice([*specials, " ", "a b", "é", "\n", "x's"]) for _ in range(rng.randint(0, 6))) for _ in range(2000))]
     ids, counts = library_encoder(path, spaced).encode(*joined(texts))
     want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     assert counts.tolist() == list(map(len, want)) and ids.tolist() == [x for w in want for x in w]
 
 
+@pytest.mark.parametrize("n", [1024, 4096, 65536])
+@pytest.mark.parametrize("spaced", [False, True])
+def test_polynomial_collisions_are_told_apart(n, spaced):
+    a, b = thue_morse(n)
+    encoder = ChunkEncoder(lambda chunks: (np.array([len(c) + (c == a.encode()) for c in chunks], np.uint32), np.ones(len(chunks), np.int64)), spaced=spaced)
+    data, offsets = joined([a, b, a, b])
+    h = hash_runs(data, offsets[:-1], offsets[1:])
+    assert h[0] == h[2] and h[1] == h[3] and h[0] != h[1]
+    ids, _ = encoder.encode(data, offsets)
+    assert ids.tolist() == [n + 1, n, n + 1, n]
+
+
+def test_equal_hashes_are_no_equal_chunks(monkeypatch):
+    monkeypatch.setattr("querl.llm.tokens.hash_words", lambda words, place, first, lengths: np.full(len(first), 7, np.uint64))
+    encoder = ChunkEncoder(lambda chunks: (np.array([int(c) for c in chunks], np.uint32), np.ones(len(chunks), np.int64)), spaced=False)
+    rng = random.Random(2)
+    for _ in range(3):
+        numbers = [rng.choice([1, 12, 123456789, 123456788, 4294967295]) for _ in range(50)]
+        assert encoder.encode(*joined([" ".join(map(str, numbers))]))[0].tolist() == numbers
+
+
+def test_round_trip_of_colliding_texts(spark, library):
+    import hashlib
+
+    rows = list(enumerate(t for n in (1024, 2048, 65536) for t in thue_morse(n)))
+    got = {r["doc_id"]: r for r in bb.encode_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), RANKS, public_tokenizers.PATTERN).collect()}
+    for d, t in rows:
+        assert got[d]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest() and got[d]["n_tokens"] == len(library.encode_ordinary(t))
+
+
 def test_table_restarts_without_changing_ids():
     seen = []
     encoder = ChunkEncoder(lambda chunks: (seen.append(len(chunks)), (np.array([len(c) for c in chunks], np.uint32), np.ones(len(chunks), np.int64)))[1], spaced=False, limit=40)
@@ -113,7 +151,6 @@ def brute_output(rows):
     import zlib
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     encoded = [(d, tokenizer.encode(t or "", add_special_tokens=False).ids + [2]) for d, t in rows]
     width = lambda ids: np.array(ids, "<u2").tobytes()
     encoded.sort(key=lambda x: (x[0] is not None, x[0] or 0, len(x[1]), width(x[1])))
