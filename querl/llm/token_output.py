@@ -8,7 +8,8 @@ numbered by (part, seq), and doc_id ascends over them. Decoding takes the length
 from a 256-entry table and everything else by numpy indexing.
 
 Defined results: a null text is empty and yields its end id alone; null doc_ids come first; repeated
-doc_ids are written one after the other, ordered by their ids; an empty table gives an empty corpus.
+doc_ids are written one after the other, ordered by their ids; an empty table gives an empty corpus;
+an end id beyond 32 bits is an error. Long texts are encoded whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -57,6 +58,16 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out & MASKS[lengths]
 
 
+def id_type(path: str, end_id: int) -> str:
+    """The integers that hold every id of a tokenizers file and the end id."""
+    from tokenizers import Tokenizer
+
+    largest = max(end_id, *Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values())
+    if not 0 <= end_id <= largest < 1 << 32:
+        raise ValueError(f"ids up to {largest} and the end id {end_id} don't fit 32 bits")
+    return "<u2" if largest < 1 << 16 else "<u4"
+
+
 def _tokenize(batches: Iterator[pa.RecordBatch], path: str, end_id: int, dtype: str) -> Iterator[pa.RecordBatch]:
     encoder = library_encoder(path, spaced=True)
     for batch in batches:
@@ -79,10 +90,10 @@ def _tokenize(batches: Iterator[pa.RecordBatch], path: str, end_id: int, dtype:
         release()
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int, wide: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids): ids and the end id as little-endian 16-bit (``wide``: 32-bit) integers."""
+def tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+    """(doc_id, n_tokens, ids): ids and the end id as the integers of id_type(), little-endian."""
     ship(docs.sparkSession)
-    dtype = "<u4" if wide else "<u2"
+    dtype = id_type(path, end_id)
     return narrow(docs).mapInArrow(partial(_tokenize, path=path, end_id=end_id, dtype=dtype), "doc_id long, n_tokens long, ids binary")
 
 
@@ -142,10 +153,10 @@ def _write_shards(batches: Iterator[pa.RecordBatch], by_rank: np.ndarray, dtype:
         yield shard()
 
 
-def write_corpus(docs: DataFrame, path: str, end_id: int, wide: bool = False) -> tuple[DataFrame, DataFrame]:
+def write_corpus(docs: DataFrame, path: str, end_id: int) -> tuple[DataFrame, DataFrame]:
     """Tokenizes ``docs`` and writes the corpus to the shared folder; the tables ``shards`` and ``ranks`` (rank, id)."""
-    dtype = "<u4" if wide else "<u2"
-    tokens = cut(tokenize(docs, path, end_id, wide), "tokens")
+    dtype = id_type(path, end_id)
+    tokens = cut(tokenize(docs, path, end_id), "tokens")
     by_rank = rank_ids(tokens, dtype)
     total = tokens.agg(F.sum("n_tokens").alias("n")).first()["n"] or 0
     parts = max(1, min(MOST_PARTS, -(-total // PART_TOKENS)))

@@ -147,12 +147,12 @@ def test_variable_length_coding_round_trip(n):
     assert (to.decode_ranks(control, data, n) == ranks).all()
 
 
-def brute_output(rows):
+def brute_output(rows, end=2, kind="<u2"):
     import zlib
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    encoded = [(d, tokenizer.encode(t or "", add_special_tokens=False).ids + [2]) for d, t in rows]
-    width = lambda ids: np.array(ids, "<u2").tobytes()
+    encoded = [(d, tokenizer.encode(t or "", add_special_tokens=False).ids + [end]) for d, t in rows]
+    width = lambda ids: np.array(ids, kind).tobytes()
     encoded.sort(key=lambda x: (x[0] is not None, x[0] or 0, len(x[1]), width(x[1])))
     out, at = [], 0
     for d, ids in encoded:
@@ -174,3 +174,13 @@ def test_token_output_of_odd_rows(spark):
     assert sorted(map(tuple, to.read_corpus(shards, ranks).collect()), key=str) == brute_output(rows)
     shards, ranks = to.write_corpus(spark.createDataFrame([], "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.json"), 2)
     assert to.read_corpus(shards, ranks).count() == 0
+
+
+def test_ids_beyond_16_bits(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert (to.id_type(path, 2), to.id_type(path, 65_536)) == ("<u2", "<u4")
+    with pytest.raises(ValueError):
+        to.id_type(path, 1 << 32)
+    rows = [(1, "one <|endoftext|> two"), (2, None), (3, "é" * 300)]
+    shards, ranks = to.write_corpus(spark.createDataFrame(rows, "doc_id long, text string"), path, 70_000)
+    assert sorted(map(tuple, to.read_corpus(shards, ranks).collect()), key=str) == brute_output(rows, 70_000, "<u4")
