@@ -29,6 +29,8 @@ STARTS_WORD[0xE1:0xE4] = False
 
 TOGETHER = 256
 """Chunks given to the library in one call, as words already split from each other."""
+JOINED = 4096
+"""Chunks given to the library as one text, where each begins with a space and a word."""
 
 
 class HashTable:
@@ -213,7 +215,7 @@ def library_encoder(path: str, spaced: bool) -> ChunkEncoder:
         tokenizer = Tokenizer.from_file(path)
         special = {t.content.encode(): i for i, t in tokenizer.get_added_tokens_decoder().items()}
 
-        def encode_many(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        def encode_apart(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             texts = [c.decode() for c in chunks]
             ids, lengths = [], []
             for i in range(0, len(texts), TOGETHER):
@@ -223,5 +225,34 @@ def library_encoder(path: str, spaced: bool) -> ChunkEncoder:
                 lengths.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(some)))
             return np.concatenate(ids), np.concatenate(lengths)
 
+        if not spaced:
+            encode_many = encode_apart
+        else:  # an id stands for bytes of the text, so ids of joined chunks tell which chunk they belong to
+            n_bytes = np.zeros(tokenizer.get_vocab_size(), np.int64)
+            for token, i in tokenizer.get_vocab(with_added_tokens=False).items():
+                n_bytes[i] = len(token)
+
+            def encode_many(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+                joins = np.array([len(c) > 1 and c[0] == 32 and STARTS_WORD[c[1]] for c in chunks], bool)
+                groups, lengths = [], np.zeros(len(chunks), np.int64)
+                if not joins.all():
+                    apart = np.flatnonzero(~joins)
+                    ids, lengths[apart] = encode_apart([chunks[i] for i in apart.tolist()])
+                    groups.append((apart, ids))
+                own = np.flatnonzero(joins)
+                for at in range(0, len(own), JOINED):
+                    some = own[at : at + JOINED]
+                    raw = [chunks[i] for i in some.tolist()]
+                    [found] = tokenizer.encode_batch_fast([b"".join(raw).decode()], add_special_tokens=False)
+                    ids = np.array(found.ids, np.uint32)
+                    ends = np.searchsorted(np.cumsum(n_bytes[ids]), np.cumsum([len(c) for c in raw]), side="left") + 1
+                    lengths[some] = np.diff(ends, prepend=0)
+                    groups.append((some, ids))
+                begin = np.cumsum(lengths) - lengths
+                out = np.empty(int(lengths.sum()), np.uint32)
+                for some, ids in groups:
+                    out[ragged(begin[some], lengths[some])] = ids
+                return out, lengths
+
         _encoders[path, spaced] = ChunkEncoder(encode_many, spaced, special=special)
     return _encoders[path, spaced]
