@@ -5,11 +5,14 @@ and the word itself (the lexicon), A-Z folded. Transitions are learned on chains
 of different documents, as in code-switched text. A document's language is the label with the largest
 sum of its words' posterior probabilities, words without a letter left out; the score is its share.
 
-Training uses a bounded sample: at most about SAMPLE_DOCS documents of each language of the training
-fold, chosen by a hash of doc_id, and SAMPLE_CHARS characters of each. Prediction uses whole texts.
+Training uses a bounded sample of rows: about SAMPLE_DOCS documents of each language of the training
+fold (all where there are fewer), chosen by a hash of doc_id and text, with their whole texts. Every
+language of the fold is learned. A chain is a whole text when it is predicted.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text when
-nothing can be learned (no labelled text in the training fold). Ties go to the smaller name.
+nothing can be learned (no labelled text in the training fold). Ties go to the smaller name. Texts of
+any length are read whole; repeated rows and null doc_ids (of the training fold) are rows like others;
+an empty table gives an empty result; only ``carry`` columns are kept.
 """
 
 from __future__ import annotations
@@ -25,13 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querl.llm.common import flat, narrow, ship, slices
-from querl.llm.crf import Chains, cut_chains, posteriors, train
+from querl.llm.crf import chains_at, cut_chains, posteriors, train
 from querl.llm.vec import gram_hashes, mix_own, prefix_sums, ragged, run_hashes, word_bounds
 
-SAMPLE_DOCS = 400
-SAMPLE_CHARS = 2000
-MOST_LANGUAGES = 256
-CHAIN = 64
+SAMPLE_DOCS = 300
 BITS = 17
 STRETCH = 12
 """Words from one document at a time in a training chain."""
@@ -86,8 +86,7 @@ class Model:
         return out
 
     def word_posteriors(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-        begin, length = cut_chains(firsts, len(starts), CHAIN)
-        return posteriors(self.scores(data, starts, ends), self.moves, Chains(begin, length))
+        return posteriors(self.scores(data, starts, ends), self.moves, *chains_at(firsts, len(starts)))
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
         """Name and score for every text."""
@@ -149,16 +148,13 @@ def fit(docs: DataFrame) -> Model:
     """A Model of the bounded sample of the training fold of ``docs`` (doc_id, text, lang)."""
     fold = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     fold = fold.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
-    counts = fold.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    if not counts:
-        return Model([], np.zeros((1, 1)), np.zeros((1, 1)))
-    of_million = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000))
-    wanted = F.lit(False)
-    for r in counts:
-        share = 1_000_000 if r["n"] <= SAMPLE_DOCS else max(1, SAMPLE_DOCS * 1_000_000 // r["n"])
-        wanted = wanted | ((F.col("lang") == r["lang"]) & (of_million < share))
-    sample = fold.where(wanted).select(F.xxhash64("doc_id", F.lit(9)).alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text"), "lang")
-    rows = sample.orderBy("h", "text").limit(2 * SAMPLE_DOCS * len(counts)).collect()
+    # a share of the hashes, none where there are few rows: numbers of languages, not of documents
+    share = F.col("n").cast("double") / SAMPLE_DOCS
+    counts = fold.groupBy("lang").agg(F.count("*").alias("n")).select("lang", F.when(share > 1, F.lit(float(1 << 63)) / share).alias("below"))
+    h = F.xxhash64("doc_id", "text", F.lit(9))
+    drawn = fold.withColumn("h", h.bitwiseAND(F.lit((1 << 63) - 1))).join(counts, "lang")
+    rows = drawn.where(F.col("below").isNull() | (F.col("h") < F.col("below"))).select("h", "text", "lang").collect()
+    rows.sort(key=lambda r: (r["h"], r["lang"], r["text"]))
     return fit_texts([r["text"] for r in rows], [r["lang"] for r in rows])
 
 

@@ -2,12 +2,14 @@
 
 The field labels words by features of their shape and of their neighbours' shapes. It is trained
 when asked for, from a small labelled table made by rule, and decoded by Viterbi over batches of
-texts. Chains are the words of a line, cut after CHAIN words. What the patterns find stays; a span
-of the field is added when it overlaps none of those. Kinds: email, ip, card, phone as the patterns
-have them, and secret (keys, tokens and passwords), which only the field finds.
+texts. A chain is a whole line. Neighbouring words of one label on a line are one span, unless
+a kind is written as one word (all but card and phone) or a new number begins. What the patterns find
+stays; of a span of the field, what lies outside of those is added. Kinds: email, ip, card, phone as
+the patterns have them, and secret (keys, tokens and passwords), which only the field finds.
 
 Defined results: a null text is empty; a text without findings has empty lists; positions are code
-points, ends exclusive.
+points, ends exclusive; texts of any length are searched whole; every row is a document of its own,
+repeated or with a null doc_id; an empty table gives an empty result; only ``carry`` columns are kept.
 """
 
 from __future__ import annotations
@@ -24,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from querl.llm.common import flat, narrow, ship, slices
-from querl.llm.crf import Chains, cut_chains, train, viterbi, word_scores
+from querl.llm.crf import chains_at, train, viterbi
 from querl.llm.vec import word_bounds
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 LABELS = ("none", *KINDS)
-CHAIN = 64
+IN_WORDS = (LABELS.index("card"), LABELS.index("phone"))
+"""Kinds that may be written as several words."""
+SECRET = LABELS.index("secret")
 
 LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
 AFTER_AT = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -205,7 +209,7 @@ class Tagger:
 
     def labels(self, shape: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         before, after = neighbours(shape, starts, lengths)
-        return viterbi(self.own[shape] + self.before[before] + self.after[after], self.moves, Chains(starts, lengths))
+        return viterbi(self.own[shape] + self.before[before] + self.after[after], self.moves, starts, lengths)
 
 
 def neighbours(shape: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,7 +242,7 @@ def default_tagger() -> Tagger:
 
 # Spans of texts --------------------------------------------------------------------------------
 
-EDGES = " \t\n\x0b\x0c\r,.;:!?\"'<>[]{}"
+EDGES = " \t\n\x0b\x0c\r,.;:!?\"'<>[]{}#*|`~"
 
 
 def _trim(text: str, a: int, b: int) -> tuple[int, int]:
@@ -249,6 +253,22 @@ def _trim(text: str, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
+def _new_numbers(label: np.ndarray, new: np.ndarray, digits: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Where runs of labelled words begin, with runs of cards and phones cut where one number is over.
+
+    A card is over once it has 16 digits, a phone where a word opens with + or, after a whole number,
+    with a bracket or a digit; both after a comma or full stop.
+    """
+    new = new.copy()
+    held = 0
+    for i in np.flatnonzero(np.isin(label, IN_WORDS)).tolist():
+        if not new[i]:
+            card = label[i] == IN_WORDS[0]
+            new[i] = last[i - 1] in b",.;" or (held >= 16 if card else first[i] == 43 or held >= 10 or held >= 7 and first[i] == 40)
+        held = int(digits[i]) if new[i] else held + int(digits[i])
+    return new
+
+
 def tagged_runs(data: np.ndarray, offsets: np.ndarray, tagger: Tagger) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of all texts: text index, label, first byte and end byte of each run of words with one label."""
     starts, ends, first = word_bounds(data, offsets)
@@ -256,16 +276,32 @@ def tagged_runs(data: np.ndarray, offsets: np.ndarray, tagger: Tagger) -> tuple[
     if not len(starts):
         return none, none, none, none
     lines = np.searchsorted(starts, np.flatnonzero(data == 10))
-    begin, length = cut_chains(np.concatenate([first[:-1], lines]), len(starts), CHAIN)
+    begin, length = chains_at(np.concatenate([first[:-1], lines]), len(starts))
     labels = tagger.labels(shapes(data, starts, ends), begin, length)
     some = np.flatnonzero(labels)
+    digits = np.array([np.count_nonzero((data[a:b] >= 48) & (data[a:b] <= 57)) for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)], np.int64)
+    part = (digits > 0) | ~np.isin(labels[some], IN_WORDS)  # a word without a digit is no part of a number
+    some, digits = some[part], digits[part]
     if not len(some):
         return none, none, none, none
-    text = np.searchsorted(offsets, starts[some], side="right") - 1
-    new = np.append(True, (np.diff(some) != 1) | (np.diff(labels[some]) != 0) | (np.diff(text) != 0))
+    line = np.searchsorted(begin, some, side="right")
+    label = labels[some]
+    new = np.append(True, (np.diff(some) != 1) | (np.diff(label) != 0) | (np.diff(line) != 0)) | ~np.isin(label, IN_WORDS)
+    new = _new_numbers(label, new, digits, data[starts[some]], data[ends[some] - 1])
     head = np.flatnonzero(new)
     tail = np.append(head[1:], len(some)) - 1
-    return text[head], labels[some[head]], starts[some[head]], ends[some[tail]]
+    text = np.searchsorted(offsets, starts[some[head]], side="right") - 1
+    return text, label[head], starts[some[head]], ends[some[tail]]
+
+
+def _outside(a: int, b: int, base: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What of [a, b) lies outside of the sorted spans ``base``."""
+    out = []
+    for p, q in base:
+        if p < b and a < q:
+            out.append((a, p))
+            a = max(a, q)
+    return [(x, y) for x, y in (*out, (a, b)) if x < y]
 
 
 def find_all(data: np.ndarray, offsets: np.ndarray, tagger: Tagger) -> list[tuple[list, list]]:
@@ -280,12 +316,18 @@ def find_all(data: np.ndarray, offsets: np.ndarray, tagger: Tagger) -> list[tupl
         lo, hi = int(per[i]), int(per[i + 1])
         s = own.decode()
         base = pattern_spans(s) if lo < hi or b"@" in own or DIGIT.search(s) else []
+        taken = sorted((p, q) for _, p, q in base)
         more = []
+        x = byte = 0  # positions in the text so far
         for k in range(lo, hi):
-            x = len(own[: int(a[k]) - bounds[i]].decode())
-            x, y = _trim(s, x, x + len(own[int(a[k]) - bounds[i] : int(b[k]) - bounds[i]].decode()))
-            if x < y and not any(p < y and x < q for _, p, q in base):
-                more.append((LABELS[label[k]], x, y))
+            first, end = int(a[k]) - bounds[i], int(b[k]) - bounds[i]
+            x += len(own[byte:first].decode())
+            y = x + len(own[first:end].decode())
+            for p, q in _outside(x, y, taken):
+                p, q = _trim(s, p, q)
+                if q - p > 3 and (label[k] == SECRET or DIGIT.search(s, p, q)):  # what is left beside a pattern's span may be nothing
+                    more.append((LABELS[label[k]], p, q))
+            x, byte = y, end
         out.append((base, more))
     return out
 

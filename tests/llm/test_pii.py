@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from querl.llm import pii
@@ -66,17 +67,37 @@ def test_held_out_accuracy():
     right = total = 0
     for line in pii.labelled_table(seed=99, lines=400):
         text = " ".join(w for w, _ in line)
-        import numpy as np
-
         data = np.frombuffer(text.encode(), np.uint8)
         starts, ends, first = pii.word_bounds(data, np.array([0, len(data)]))
-        begin, length = pii.cut_chains(first[:-1], len(starts), pii.CHAIN)
+        begin, length = pii.chains_at(first[:-1], len(starts))
         found = tagger.labels(pii.shapes(data, starts, ends), begin, length)
         right += sum(pii.LABELS[a] == b for a, (_, b) in zip(found, line, strict=True))
         total += len(line)
     assert right / total > 0.98
 
 
+def spans_of(text):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    [(base, more)] = pii.find_all(raw, np.array([0, len(raw)]), pii.default_tagger())
+    return base + more
+
+
+def test_found_wherever_it_stands_on_a_line():
+    for n in range(201):
+        for kind, said in (("phone", "(555) 555-0100"), ("card", "4111 1111 1111 1112")):
+            text = "wort " * n + said + " ander" * 3
+            assert [(k, text[a:b]) for k, a, b in spans_of(text)] == [(kind, said)], n
+    long = "wort " * 3000 + "(555) 555-0100 " + "ander " * 3000
+    assert [(k, long[a:b]) for k, a, b in spans_of(long)] == [("phone", "(555) 555-0100")]
+
+
+def test_numbers_side_by_side_are_spans_of_their_own():
+    said = lambda text: sorted((k, text[a:b]) for k, a, b in spans_of(text))
+    assert said("call +1 (555) 123-4567\n(555) 987-6543 today") == [("phone", "(555) 987-6543"), ("phone", "+1 (555) 123-4567")]
+    assert said("cards 4111 1111 1111 1112 4111 1111 1111 1113 ok") == [("card", "4111 1111 1111 1112"), ("card", "4111 1111 1111 1113")]
+    assert said('key "0f3a9c1b2d4e5f6a7b8c9d0e1f2a3b4c5d6e7f80"### end') == [("secret", "0f3a9c1b2d4e5f6a7b8c9d0e1f2a3b4c5d6e7f80")]
+
+
 def test_texts_are_redacted_and_columns_carried(spark):
     df = spark.createDataFrame([(1, "to x@y.zz now", "en")], "doc_id long, text string, lang string")
     r = pii.find(df, texts=True, carry=("lang",)).first()
