@@ -1,4 +1,7 @@
-"""python -m querl [SCRIPT...]: runs scripts, then reads statements until q or exit."""
+"""python -m querl [-i] [SCRIPT...]: runs scripts, then reads statements until q or exit.
+
+-i reads statements after scripts, as is also done without it. Serving clients is Spark Connect's work.
+"""
 
 from __future__ import annotations
 
@@ -16,6 +19,11 @@ def main(arguments: list[str]) -> int:
     if {"-h", "--help"} & {*arguments}:
         print(__doc__)
         return 0
+    unknown = [a for a in arguments if a.startswith("-") and a != "-i"]
+    if unknown:
+        print(f"error: unknown option {unknown[0]}", file=sys.stderr)
+        return 2
+    arguments = [a for a in arguments if a != "-i"]
     engine = Engine(session.create())
     try:
         for path in [STARTUP] * os.path.exists(STARTUP) + arguments:

@@ -6,8 +6,8 @@ both engines read the tables through the same casts.
 
 from __future__ import annotations
 
-import os
-import tempfile
+import re
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from querl.engine import Engine
 from querl.functions import types as ty
+from querl.sources import loader, render
 
 MONEY = "decimal(12,2)"
 TYPED = {
@@ -33,10 +34,13 @@ TYPED = {
 }
 
 
-def typed_engine(spark: SparkSession, sf_dir: str) -> Engine:
-    """An Engine over the driver's tables."""
+def typed_engine(spark: SparkSession, sf_dir: str, statement: str | None = None) -> Engine:
+    """An Engine over the driver's tables, or those of them that ``statement`` names."""
     engine = Engine(spark)
+    words = None if statement is None else set(re.findall(r"\w+", statement))
     for name, columns in TYPED.items():
+        if words is not None and name not in words:
+            continue
         declared = {c: ty.parse(t) for c, t in columns.items()}
         raw = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         cast = [F.col(c).cast(t.spark).alias(c) if not isinstance(t.spark, T.StringType) else F.col(c) for c, t in declared.items()]
@@ -63,7 +67,7 @@ class Query:
     out: dict[str, str] = field(default_factory=dict)
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        planned = typed_engine(spark, sf_dir).execute(self.statement).planned
+        planned = typed_engine(spark, sf_dir, self.statement).execute(self.statement).planned
         columns = [F.col(n).cast(f"decimal(38,{t.scale})").alias(n) if t.tag == "decimal" else F.col(n) for n, t in planned.columns.items()]
         return planned.rows.select(*columns)
 
@@ -126,6 +130,10 @@ CATALOGUE: dict[str, Query] = {
         "select c_custkey, c_mktsegment from customer where c_mktsegment = 'BUILDING  '",
         "SELECT c_custkey, c_mktsegment FROM t_customer WHERE rtrim(c_mktsegment, ' ') = 'BUILDING'",
     ),
+    "filter_varchar_eq": _same("select c_custkey, c_name from customer where c_name = 'Customer#7' or c_name <> 'Customer#7'"),
+    "filter_mixed_numbers": _same("select p_partkey, p_size from part where p_size < 20.5 and p_retailprice >= 100 and 1 <> 2"),
+    "project_negative": _same("select l_orderkey, -1 * l_linenumber as a, -0.5 * l_tax as b from lineitem", a="BIGINT", b=dec(3)),
+    "project_commented": Query("select n_name -- of a nation; 'all'\nfrom nation -- of them", "SELECT n_name FROM t_nation"),
     "project_arith": _same("select l_orderkey, l_extendedprice + l_tax as a, l_extendedprice - l_discount as b, l_extendedprice * l_discount as c, l_linenumber + 1 as d from lineitem", a=dec(2), b=dec(2), c=dec(4), d="BIGINT"),
     "project_int_div": Query("select o_orderkey / 7 as q, (0 - o_orderkey) / 7 as n from orders", "SELECT o_orderkey // 7 AS q, CAST(trunc(-(o_orderkey // 7)) AS BIGINT) AS n FROM t_orders"),
     "project_cast_trunc": Query(
@@ -232,22 +240,53 @@ CATALOGUE: dict[str, Query] = {
 }
 
 
-def bulk_insert_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers written in the dialect's text form and loaded back by bulk insert."""
-    engine = typed_engine(spark, sf_dir)
+def _customers_as_text(spark: SparkSession, sf_dir: str) -> tuple[Engine, str]:
+    """An engine with an empty table ``loaded`` for customers, and a folder of customers in the dialect's text form."""
+    engine = typed_engine(spark, sf_dir, "customer")
     table = engine.catalog.get("customer")
-    from querl.sources.render import write_file
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{root}/querl-bulk-{os.getpid()}-{abs(hash(sf_dir))}"
-    write_file(table.rows, table.columns, path)
+    path = f"{loader.stored_root(spark)}/querl-text/{uuid.uuid4().hex}"
+    render.write_file(table.rows, table.columns, path)
     engine.execute("create table loaded (" + ", ".join(f"{c} {t}" for c, t in table.columns.items()) + ")")
+    return engine, path
+
+
+def bulk_insert_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written in the dialect's text form and loaded back by bulk insert."""
+    engine, path = _customers_as_text(spark, sf_dir)
     engine.execute(f'bulk insert loaded from "{path}" with (fieldterminator="|")')
     rows = engine.execute("select * from loaded").planned.rows
     return rows.select("c_custkey", F.rtrim("c_name").alias("c_name"), "c_nationkey", F.col("c_acctbal").cast("decimal(38,2)").alias("c_acctbal"), F.rtrim("c_mktsegment").alias("c_mktsegment"))
 
 
+def agg_char_blank_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of a fixed-length column of which one load is padded and another isn't: values equal but for blanks are one group."""
+    engine, path = _customers_as_text(spark, sf_dir)
+    engine.execute(f'bulk insert loaded from "{path}" with (fieldterminator="|")')
+    engine.catalog.append("loaded", engine.catalog.get("customer").rows)
+    return engine.execute("select c_mktsegment, count(*) as n from loaded group by c_mktsegment").planned.rows
+
+
+def bulk_insert_firstrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions from a file with two lines above the rows, which firstrow passes over."""
+    engine = typed_engine(spark, sf_dir, "region")
+    table = engine.catalog.get("region")
+    body = [r["value"] for r in render.rows_as_text(table.rows.orderBy("r_regionkey"), table.columns).collect()]
+    path = f"{loader.stored_root(spark)}/querl-text/{uuid.uuid4().hex}"
+    spark.createDataFrame([("\n".join(["key|name|", "above the rows", *body]),)], "value string").coalesce(1).write.text(path)
+    engine.execute("create table loaded (r_regionkey int, r_name varchar(25))")
+    engine.execute(f'bulk insert loaded from "{path}" with (fieldterminator="|", firstrow=3)')
+    return engine.execute("select * from loaded").planned.rows.select("r_regionkey", F.rtrim("r_name").alias("r_name"))
+
+
 BULK_ORACLE = Query("", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM t_customer", {"c_acctbal": dec(2)})
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: q.run for n, q in CATALOGUE.items()} | {"bulk_insert_roundtrip": bulk_insert_roundtrip}
-ORACLE_SQL: dict[str, str] = {n: q.sql() for n, q in CATALOGUE.items()} | {"bulk_insert_roundtrip": BULK_ORACLE.sql()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: q.run for n, q in CATALOGUE.items()} | {
+    "bulk_insert_roundtrip": bulk_insert_roundtrip,
+    "agg_char_blank_groups": agg_char_blank_groups,
+    "bulk_insert_firstrow": bulk_insert_firstrow,
+}
+ORACLE_SQL: dict[str, str] = {n: q.sql() for n, q in CATALOGUE.items()} | {
+    "bulk_insert_roundtrip": BULK_ORACLE.sql(),
+    "agg_char_blank_groups": "SELECT c_mktsegment, 2 * count(*) AS n FROM customer GROUP BY c_mktsegment",
+    "bulk_insert_firstrow": "SELECT r_regionkey, r_name FROM region",
+}

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
@@ -20,20 +23,36 @@ COMMAND = re.compile(r"\s*(\w+)\s*(?:=\s*(\w+)\s*)?;?\s*$")
 RESULT_FILE = "qres.tbl"
 
 
+@contextmanager
+def spark_errors() -> Iterator[None]:
+    """Spark's errors, in planning or while rows are computed, as EngineError."""
+    try:
+        yield
+    except (PySparkException, Py4JJavaError) as e:
+        raise EngineError(str(e)) from e
+
+
 @dataclass
 class Result:
-    """What a statement gave: rows with declared types, or a message."""
+    """What a statement gave: rows with declared types, or a message; seconds to plan it and, with showperf, to run it."""
 
     message: str = ""
     planned: planner.Planned | None = None
     seconds: float = 0.0
+    run_seconds: float = 0.0
 
     @property
     def rows(self):
         return self.planned.rows if self.planned else None
 
+    def fetch(self) -> list[tuple]:
+        """All rows, on the driver; what goes wrong while they are computed is an EngineError."""
+        with spark_errors():
+            return [tuple(r) for r in self.planned.rows.collect()] if self.planned else []
+
     def text(self) -> str:
-        return render.console(self.planned.rows, self.planned.columns) if self.planned else self.message
+        with spark_errors():
+            return render.console(self.planned.rows, self.planned.columns) if self.planned else self.message
 
 
 class Engine:
@@ -52,33 +71,35 @@ class Engine:
         if control is not None:
             return control
         began = time.perf_counter()
-        try:
+        with spark_errors():
             tree = syntax.parse(statement)
             if isinstance(tree, syntax.CreateTable):
                 self.catalog.create(tree.name, tree.columns)
                 out = Result(f"created table {tree.name}")
             elif isinstance(tree, syntax.BulkInsert):
-                table = self.catalog.get(tree.table)
-                rows = loader.read_delimited(self.spark, tree.path, table.columns, tree.terminator, tree.first_row)
-                self.catalog.append(tree.table, rows)
+                columns = self.catalog.get(tree.table).columns
+                self.catalog.add_folder(tree.table, loader.load(self.spark, tree.path, columns, tree.terminator, tree.first_row))
                 out = Result(f"loaded {tree.path} into {tree.table}")
             else:
                 out = Result(planned=planner.plan(tree, self.catalog))
-                self._show(out.planned)
-        except PySparkException as e:
-            raise EngineError(str(e)) from e
-        out.seconds = time.perf_counter() - began
-        if self.flags["showperf"]:
-            print(f"{out.seconds * 1000:.1f} ms")
+            out.seconds = time.perf_counter() - began
+            if out.planned:
+                self._show(out)
         return out
 
-    def _show(self, planned: planner.Planned) -> None:
+    def _show(self, out: Result) -> None:
+        planned = out.planned
         if self.flags["showplan"]:
             planned.rows.explain("formatted")
         if self.flags["showasm"] or self.flags["showfln"]:
             planned.rows.explain("codegen")
         if self.flags["tofile"]:
             render.write_file(planned.rows, planned.columns, self.result_path)
+        if self.flags["showperf"]:
+            began = time.perf_counter()
+            planned.rows.write.format("noop").mode("overwrite").save()
+            out.run_seconds = time.perf_counter() - began
+            print(f"planned in {out.seconds * 1000:.1f} ms, run in {out.run_seconds * 1000:.1f} ms")
 
     def _control(self, statement: str) -> Result | None:
         m = COMMAND.match(statement)

@@ -36,6 +36,12 @@ def char_eq(a: Column, b: Column) -> Column:
     return F.rtrim(a) == F.rtrim(b)
 
 
+def char_eq_constant(c: Column, text: str) -> Column:
+    """char_eq() with a constant. The prefix is implied; scans can skip by it, which they can't by a trimmed column."""
+    text = text.rstrip(" ")
+    return c.startswith(F.lit(text)) & (F.rtrim(c) == F.lit(text)) if text else F.rtrim(c) == F.lit(text)
+
+
 def like(c: Column, pattern: str) -> Column:
     """% and _ match as usual; a backslash is an ordinary character."""
     return c.like(pattern.replace("\\", "\\\\"))

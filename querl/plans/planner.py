@@ -63,7 +63,7 @@ def _grouped(q: Select, rows: DataFrame, scope: Scope) -> tuple[DataFrame, dict[
     keys, values = [], []
     for i, g in enumerate(q.groups):
         c, t = compile(g, scope.resolve)
-        keys.append(c.alias(f"g{i}"))
+        keys.append((F.rtrim(c) if t.tag == "char" else c).alias(f"g{i}"))  # trailing blanks tell no groups of fixed-length strings apart
         known[g] = F.col(f"g{i}"), t
     wanted = dict.fromkeys(n for e, _ in q.columns for n in e.walk() if n.kind == "aggregate")
     for i, a in enumerate(wanted):

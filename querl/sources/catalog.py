@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -13,11 +14,13 @@ from querl.functions import types as ty
 
 @dataclass
 class Table:
-    """A table's columns, in order, and its rows."""
+    """A table's columns, in order, and its rows: those of DataFrames given to it and of folders that loads have stored."""
 
     name: str
     columns: dict[str, ty.Type]
-    rows: DataFrame
+    rows: DataFrame | None = None
+    given: list[DataFrame] = field(default_factory=list)
+    folders: list[str] = field(default_factory=list)
 
 
 class Catalog:
@@ -33,17 +36,22 @@ class Catalog:
             raise EngineError(f"table {name} exists")
         if not columns:
             raise EngineError(f"table {name} has no columns")
-        schema = T.StructType([T.StructField(c, t.spark) for c, t in columns.items()])
-        return self._keep(Table(name, dict(columns), self.spark.createDataFrame([], schema)))
+        return self._keep(Table(name, dict(columns)))
 
     def register(self, name: str, rows: DataFrame, declared: dict[str, ty.Type] | None = None) -> Table:
         """A table over a DataFrame; ``declared`` gives types Spark doesn't have (char, varchar)."""
         columns = {f.name: (declared or {}).get(f.name) or ty.of_spark(f.dataType) for f in rows.schema}
-        return self._keep(Table(name, columns, rows))
+        return self._keep(Table(name, columns, given=[rows]))
 
     def append(self, name: str, rows: DataFrame) -> None:
         table = self.get(name)
-        table.rows = table.rows.unionByName(rows)
+        table.given.append(rows)
+        self._keep(table)
+
+    def add_folder(self, name: str, folder: str) -> None:
+        """Rows stored as Parquet join the table; all its folders are one scan."""
+        table = self.get(name)
+        table.folders.append(folder)
         self._keep(table)
 
     def get(self, name: str) -> Table:
@@ -52,6 +60,9 @@ class Catalog:
         return self.tables[name]
 
     def _keep(self, table: Table) -> Table:
+        schema = T.StructType([T.StructField(c, t.spark) for c, t in table.columns.items()])
+        stored = [self.spark.read.schema(schema).parquet(*table.folders)] if table.folders else []
+        table.rows = reduce(DataFrame.unionByName, [*table.given, *stored]) if table.given or stored else self.spark.createDataFrame([], schema)
         self.tables[table.name] = table
         table.rows.createOrReplaceTempView(table.name)
         return table

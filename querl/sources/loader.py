@@ -3,11 +3,14 @@
 A line holds one row; a terminator after the last field is allowed. Strings longer than declared are
 cut. Dates are yyyy-mm-dd, yyyy/mm/dd or mm/dd/yyyy and must exist. Decimals have the declared scale;
 further digits are cut. A line with too many or too few fields, or a field that is not of its type, is
-an error that names the line's content when the rows are used.
+an error that names the line's content. load() reads a file once, when it is asked to, and stores the
+rows as Parquet, so its errors appear there and later statements read columns with statistics.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +68,17 @@ def read_delimited(spark: SparkSession, path: str, columns: dict[str, ty.Type],
         skipped = numbered.where("__at = 0").orderBy("__n").limit(first_row - 1).select("__n").collect()
         lines = numbered.where(~F.col("__n").isin([r["__n"] for r in skipped])).select("value")
     return parse_lines(lines.where(F.length("value") > 0), columns, terminator)
+
+
+def stored_root(spark: SparkSession) -> str:
+    """Where loaded tables are stored: a folder that driver and executors share."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+def load(spark: SparkSession, path: str, columns: dict[str, ty.Type], terminator: str = ",", first_row: int = 1) -> str:
+    """Stores the rows of a delimited file as Parquet and gives the folder; a bad line stores nothing that is used."""
+    rows = read_delimited(spark, path, columns, terminator, first_row)
+    folder = f"{stored_root(spark)}/querl-tables/{uuid.uuid4().hex}"
+    rows.write.parquet(folder)
+    return folder

@@ -124,9 +124,54 @@ def test_bulk_insert(engine, tmp_path):
 def test_bad_lines(engine, tmp_path, line):
     (tmp_path / "x.csv").write_text(line + "\n")
     engine.execute("create table t (k int, day date, v decimal(4,1))")
-    engine.execute(f"bulk insert t from '{tmp_path}/x.csv'")
-    with pytest.raises(Exception, match="a line has not|not a value"):
-        engine.execute("select * from t").rows.collect()
+    with pytest.raises(EngineError, match="a line has not|not a value"):
+        engine.execute(f"bulk insert t from '{tmp_path}/x.csv'")
+    assert rows(engine, "select count(*) as n from t") == [(0,)]  # nothing of a bad file is loaded
+
+
+def test_loads_add_up_in_one_scan(engine, tmp_path):
+    engine.execute("create table t (k int, name char(5))")
+    for k in range(3):
+        (tmp_path / f"{k}.csv").write_text(f"{k},ab\n")
+        engine.execute(f"bulk insert t from '{tmp_path}/{k}.csv'")
+    assert sorted(rows(engine, "select k from t where name = 'ab   '")) == [(0,), (1,), (2,)]
+    plan = engine.execute("select k from t where name = 'ab'").rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "StringStartsWith(name,ab)" in plan
+
+
+def test_fixed_length_groups(engine):
+    table(engine, "t", "s char(4), v varchar(4)", [("ab", "ab"), ("ab  ", "ab  "), ("b", "b")])
+    assert sorted(rows(engine, "select s, count(*) as n from t group by s")) == [("ab", 2), ("b", 1)]
+    assert len(rows(engine, "select s from t group by s")) == 2 and len(rows(engine, "select v from t group by v")) == 3
+    out = engine.execute("select s from t group by s").planned
+    assert sorted(r[0] for r in render.rows_as_text(out.rows, out.columns).collect()) == ["ab  |", "b   |"]
+
+
+def test_errors_at_run_time(engine):
+    result = engine.execute("select 1 / (2 - 2) as x")
+    for use in (result.text, result.fetch):
+        with pytest.raises(EngineError):
+            use()
+    assert engine.execute("select 1 as x").fetch() == [(1,)]
+
+
+def test_command_line(tmp_path, monkeypatch, capsys):
+    from querl import __main__ as main
+
+    (tmp_path / "startup.sql").write_text("create table t (a bigint);\n")
+    monkeypatch.chdir(tmp_path)
+    lines = iter(["select 1 / 0 as x;", "select z from t;", "select count(*) as n from t;", "q"])
+    monkeypatch.setattr("builtins.input", lambda _: next(lines))
+    assert main.main(["-i"]) == 0  # goes on after errors
+    said = capsys.readouterr().out
+    assert said.count("error:") == 2 and "1 tuples" in said
+    assert main.main(["-x"]) == 2 and main.main(["-h"]) == 0
+
+
+def test_time_of_planning_and_running(engine, capsys):
+    engine.execute("showperf=true")
+    assert engine.execute("select 1 as x").run_seconds > 0 and "run in" in capsys.readouterr().out
+    engine.execute("showperf=false")
 
 
 def test_bulk_insert_errors(engine, tmp_path):
@@ -172,3 +217,4 @@ def test_pushed_down_plans(engine):
     e = typed_engine(engine.spark, "/root/testdata/sf0.01")
     plan = e.execute("select n_name from nation, region where n_regionkey = r_regionkey and r_name = 'ASIA'").rows._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan and "HashJoin" in plan
+    assert "StringStartsWith(r_name,ASIA)" in plan
