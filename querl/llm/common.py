@@ -1,7 +1,8 @@
 """What the operators of this subpackage share: input, shared storage, code shipping, Arrow text access.
 
 Intermediate tables go to the folder the cluster names in ``spark.checkpoint.dir``; a private folder
-is used only where that setting is absent (tests, one machine).
+is used only where that setting is absent and everything runs on one machine (tests). Results read
+these tables when they are computed; clear() deletes them once they are no longer needed.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 _own_root: dict[str, str] = {}
 _shipped: set[str] = set()
+_written: dict[str, list[str]] = {}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +43,8 @@ def shared_root(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_root:
         _own_root[app] = "file://" + tempfile.mkdtemp(prefix="querl-shared-")
@@ -52,9 +56,20 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> int:
+    """Deletes the tables that cut() has written for this application, once no result that reads them is needed; how many."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    return len(paths)
+
+
 def cut_measured(df: DataFrame, label: str, **measures) -> tuple[DataFrame, dict]:
     """cut() with aggregates of the rows taken while they are written."""
     seen = Observation()

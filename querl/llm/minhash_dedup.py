@@ -45,6 +45,9 @@ MAP_WORDS = 64
 """64-bit words of the bitmaps that bound the difference of two sets from below."""
 HUBS = 8
 """A shingle's hubs in the first round, and how many times as many each next round has."""
+SHARE = 1000
+"""A bucket with more than one in SHARE of all rows is dealt over several tasks; there can't be more than SHARE of those."""
+
 
 @cache
 def side_of(numerator: int, denominator: int) -> int:
@@ -132,8 +135,27 @@ def shingles(docs: DataFrame) -> DataFrame:
     return narrow(docs).mapInArrow(_sets, "id long, shingles array<long>, map array<long>")
 
 
-def bucket_members(reps: DataFrame, side: int) -> DataFrame:
-    """(bucket, id, n): for tables made of the keys that at least two of ``reps`` have, buckets of at least two."""
+def split_join(rows: DataFrame, few: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+    """``rows`` (bucket, id, ...) joined by bucket with ``few``, which has a few rows for a bucket.
+
+    counts: (bucket, c), rows of each bucket, which are ``total`` together. A bucket that holds a large
+    share of them is split by id, and its few rows are repeated for each split. At most SHARE buckets
+    come to the driver and are broadcast.
+    """
+    large = counts.where(F.col("c") * SHARE > total).select("bucket", F.ceil(F.col("c") * SHARE / max(total, 1)).cast("int").alias("splits")).collect()
+    if not large:
+        return rows.join(few, "bucket")
+    splits = F.broadcast(rows.sparkSession.createDataFrame(large, "bucket long, splits int"))
+    own = rows.join(splits, "bucket", "left").withColumn("split", F.coalesce(F.pmod(F.xxhash64("id"), F.col("splits")).cast("int"), F.lit(0))).drop("splits")
+    repeated = few.join(splits, "bucket", "left").withColumn("split", F.explode(F.sequence(F.lit(0), F.coalesce("splits", F.lit(1)) - 1))).drop("splits")
+    return own.join(repeated, ["bucket", "split"]).drop("split")
+
+
+def bucket_members(reps: DataFrame, side: int) -> tuple[DataFrame, DataFrame, int]:
+    """(bucket, id, n): for tables made of the keys that at least two of ``reps`` have, buckets of at least two.
+
+    With them the rows of each bucket, (bucket, c), and of all.
+    """
     one = reps.select("doc_id", "n_shingles", F.posexplode("keys").alias("place", "key"))
     twice = one.groupBy("place", "key").agg(F.count("*").alias("c")).where("c > 1").select("place", "key")
     mine = (
@@ -146,8 +168,8 @@ def bucket_members(reps: DataFrame, side: int) -> DataFrame:
     pairs = F.flatten(F.transform(first, lambda a: F.transform(second, lambda b: F.xxhash64(a["place"], a["key"], b["place"], b["key"]))))
     rows = mine.select(F.explode(pairs).alias("bucket"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
     rows = cut(rows, "members")  # read twice below
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-    return rows.join(shared, "bucket")
+    counts, seen = cut_measured(rows.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), "bucket-sizes", n=F.coalesce(F.sum("c"), F.lit(0)))
+    return split_join(rows, counts.select("bucket"), counts, seen["n"]), counts, seen["n"]
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
@@ -160,11 +182,11 @@ def _similar(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int
     return sized.select("u", "v", (F.expr(f"{denominator}L * common") >= F.expr(f"{numerator}L * (total - common)")).alias("linked"))
 
 
-def _first_links(members: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+def _first_links(members: DataFrame, counts: DataFrame, total: int, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """Links of every text with the hub it shares most buckets with."""
     hubs = members.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("hub"))
     size_ok = (denominator * F.least("n", "hub.n")) >= (numerator * F.greatest("n", "hub.n"))
-    shared = members.join(hubs, "bucket").where((F.col("id") != F.col("hub.id")) & size_ok).groupBy("id", F.col("hub.id").alias("hub")).agg(F.count("*").alias("c"))
+    shared = split_join(members, hubs, counts, total).where((F.col("id") != F.col("hub.id")) & size_ok).groupBy("id", F.col("hub.id").alias("hub")).agg(F.count("*").alias("c"))
     best = shared.groupBy("id").agg(F.max(F.struct("c", (-F.col("hub")).alias("less"))).alias("m"))
     pairs = best.select(F.col("id").alias("u"), (-F.col("m.less")).alias("v"))
     return cut(_similar(pairs, sets, numerator, denominator).where("linked").select("u", "v"), "first-links")
@@ -173,24 +195,25 @@ def _first_links(members: DataFrame, sets: DataFrame, numerator: int, denominato
 def _rare_shingles(sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """(bucket, id, n, map): of each set, those of its rarest n - ceil(t n) + 1 shingles that another set has."""
     one = sets.select("id", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("bucket"))
-    often = one.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
-    mine = one.join(often, "bucket").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "bucket"))).alias("k"))  # a text's own shingles
+    often, seen = cut_measured(one.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), "often", n=F.coalesce(F.sum("c"), F.lit(0)))
+    mine = split_join(one, often, often, seen["n"]).groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "bucket"))).alias("k"))  # a text's own shingles
     alone = F.col("n") - F.size("k")
     prefix = F.expr(f"n - (n * {numerator}L + {denominator - 1}) div {denominator}L + 1") - alone
     rare = mine.where(prefix > 0).select("id", "n", F.slice("k", F.lit(1), prefix.cast("int")).alias("k"))
     return rare.join(sets.select("id", "map"), "id").select(F.explode("k").alias("x"), "id", "n", "map").select(F.col("x.bucket").alias("bucket"), "id", "n", "map")
 
 
-def _resolve(members: DataFrame, sets: DataFrame, found: DataFrame, comp: DataFrame, numerator: int, denominator: int) -> DataFrame:
+def _resolve(members: DataFrame, sets: DataFrame, comp: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """(id, component) once all texts that share a bucket of ``members`` are in one component or compared."""
     compared = None
     hubs, turn = HUBS, 0
     while True:
         members = members.drop("comp").join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-        split = members.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("bucket")
-        members, left = cut_measured(members.join(split, "bucket"), "split", n=F.count("*"))
+        split = members.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("c")).where("a <> b").select("bucket", "c")
+        split, left = cut_measured(split, "open", n=F.coalesce(F.sum("c"), F.lit(0)))
         if not left["n"]:
             return comp
+        members = cut(split_join(members, split.select("bucket"), split, left["n"]), "split")
         order = F.struct(F.xxhash64("id", F.lit(turn)).alias("rank"), "id", "n", "comp", "map")
         salt = F.pmod(F.xxhash64("id", F.lit(-1 - turn)), F.lit(hubs))
         chosen = members.groupBy("bucket", salt.alias("salt")).agg(F.min(order).alias("hub"))
@@ -201,13 +224,12 @@ def _resolve(members: DataFrame, sets: DataFrame, found: DataFrame, comp: DataFr
         differ = lambda words: sum((F.bit_count(F.col("map")[i].bitwiseXOR(F.col("hub_map")[i])) for i in words), F.lit(0))
         few = lambda words: (denominator + numerator) * differ(words) <= most
         possible = (F.col("comp") != F.col("hub_comp")) & few(range(MAP_WORDS // 2)) & few(range(MAP_WORDS))
-        pairs = members.join(chosen, "bucket").where(possible).select(F.greatest("id", "hub").alias("u"), F.least("id", "hub").alias("v")).distinct()
+        pairs = split_join(members, chosen, split, left["n"]).where(possible).select(F.greatest("id", "hub").alias("u"), F.least("id", "hub").alias("v")).distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["u", "v"], "left_anti")
         judged, seen = cut_measured(_similar(pairs, sets, numerator, denominator), "judged", links=F.coalesce(F.sum(F.col("linked").cast("long")), F.lit(0)))
         if seen["links"]:
-            found = found.union(judged.where("linked").select("u", "v"))
-            comp = components(found)
+            comp = components(comp.select(F.col("id").alias("u"), F.col("component").alias("v")).union(judged.where("linked").select("u", "v")))
         compared = judged.select("u", "v") if compared is None else compared.union(judged.select("u", "v"))
         members = members.join(chosen.select("bucket", F.col("hub").alias("id")), ["bucket", "id"], "left_anti")
         hubs, turn = hubs * HUBS, turn + 1
@@ -215,17 +237,17 @@ def _resolve(members: DataFrame, sets: DataFrame, found: DataFrame, comp: DataFr
 
 def near_components(docs: DataFrame, reps: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """(id, component) of the representatives that have links."""
-    members = cut(bucket_members(reps, side_of(numerator, denominator)), "buckets")
+    members, counts, total = bucket_members(reps, side_of(numerator, denominator))
+    members = cut(members, "buckets")
     ids = members.select(F.col("id").alias("doc_id")).distinct()
     wanted = narrow(docs).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = cut(shingles(wanted), "sets")
-    found = _first_links(members, sets, numerator, denominator)
-    comp = components(found)
+    comp = components(_first_links(members, counts, total, sets, numerator, denominator))
     labelled = members.join(comp, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"))
     split = labelled.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("bucket")
-    open_ids = labelled.join(split, "bucket").select("id").distinct()
+    open_ids = split_join(labelled, split, counts, total).select("id").distinct()
     rest = cut(_rare_shingles(sets.join(open_ids, "id", "left_semi"), numerator, denominator), "rare")
-    return _resolve(rest, sets, found, comp, numerator, denominator)
+    return _resolve(rest, sets, comp, numerator, denominator)
 
 
 def dedup(docs: DataFrame, numerator: int = 85, denominator: int = 100) -> DataFrame:

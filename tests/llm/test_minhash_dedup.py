@@ -1,3 +1,4 @@
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -63,6 +64,25 @@ def test_against_brute_force(spark):
     assert rows_of(md.dedup(df)) == brute(rows)
 
 
+def test_split_joins_are_joins(spark, monkeypatch):
+    rng = random.Random(1)
+    rows = spark.createDataFrame([(rng.choice([1, 1, 1, 1, rng.randint(2, 40)]), i) for i in range(2000)], "bucket long, id long")
+    few = spark.createDataFrame([(b, k) for b in range(45) for k in range(b % 3)], "bucket long, k long")
+    counts = rows.groupBy("bucket").agg(F.count("*").alias("c"))
+    want = sorted(map(tuple, rows.join(few, "bucket").select("bucket", "id", "k").collect()))
+    for share in (1, 7, 1000):
+        monkeypatch.setattr(md, "SHARE", share)
+        assert sorted(map(tuple, md.split_join(rows, few, counts, 2000).select("bucket", "id", "k").collect())) == want
+
+
+def test_written_tables_are_deleted(spark):
+    from querl.llm import common
+
+    df = common.cut(spark.range(3), "x")
+    path = df.inputFiles()[0].removeprefix("file://").removeprefix("file:").rsplit("/", 1)[0]
+    assert os.path.exists(path) and common.clear(spark) >= 1 and not os.path.exists(path) and common.clear(spark) == 0
+
+
 def test_words_of_equal_polynomials(spark):
     rows = list(enumerate(t for n in (1024, 65536) for t in thue_morse(n)))
     assert rows_of(md.dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))) == brute(rows)
