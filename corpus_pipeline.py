@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns of documents
 (doc_id, text, lang, source, n_chars); the last returns the packed pieces.
+
+Defined results: an empty table stays empty through all stages. The first stage drops null texts and
+those without a letter. Rows that repeat a doc_id with one text become one in the second; a null doc_id
+is near no other and stays, and may hold passages first in the third. Texts of any length are handled
+whole. Columns other than those of documents are not carried.
 """
 
 from __future__ import annotations
@@ -23,17 +28,24 @@ def _columns(df: DataFrame, text: str) -> DataFrame:
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is identified; those that are ``und`` (no letter) go."""
+    """Keeps documents whose language is identified; those that are ``und`` (no letter) go.
+
+    Where nothing can be learned, as no text has a lang, only texts without a letter go.
+    """
     model = language_id.fit(docs)
+    if not model.names:
+        return docs.select(*COLUMNS).where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     found = language_id.predict(docs, model, carry=("text", *REST, "n_chars"))
     return found.where("lang_pred <> 'und'").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (80 percent of five-word shingles) stays: the one of the smallest doc_id."""
-    kept = minhash_dedup.dedup(docs, 80, 100).where("kept").select("doc_id").distinct()
-    known = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return known.union(docs.where("doc_id is null")).select(*COLUMNS)
+    kept = minhash_dedup.dedup(docs, 80, 100).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    known = docs.join(cut(kept, "kept-ids"), "doc_id")
+    once = known.where("rows = 1")
+    repeated = known.where("rows > 1").dropDuplicates(["doc_id", "text"])  # rows of one doc_id only: few, as a rule
+    return once.union(repeated).select(*COLUMNS).union(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
