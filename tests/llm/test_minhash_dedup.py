@@ -14,7 +14,7 @@ def shingle_set(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = {d: shingle_set(t) for d, t in rows if d is not None}
     parent = {d: d for d in sets}
 
@@ -27,7 +27,7 @@ def brute(rows):
     for i, a in enumerate(ids):
         for b in ids[:i]:
             x, y = sets[a], sets[b]
-            if x and y and 100 * len(x & y) >= 85 * len(x | y):
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
                 ra, rb = root(a), root(b)
                 parent[max(ra, rb)] = min(ra, rb)
     return sorted([(d, len(shingle_set(t)), d if d is None else root(d), d is None or root(d) == d) for d, t in rows], key=str)

@@ -47,7 +47,7 @@ def test_stages(spark):
     got = {r["doc_id"]: r["text"] for r in now.collect()}
     assert got == {d: t for d, t in rows.items() if t and any(c.isalpha() for c in t)}
 
-    want = {d for d, _, _, kept in brute_groups(list(got.items())) if kept}
+    want = {d for d, _, _, kept in brute_groups(list(got.items()), 80) if kept}
     now = cp.cut(stages["minhash_dedup"](spark, cp.cut(now, "test"), SF), "test")
     got = {r["doc_id"]: r["text"] for r in now.collect()}
     assert now.columns == list(cp.COLUMNS) and set(got) == want
@@ -94,3 +94,21 @@ def test_near_duplicates_at_80_percent(spark):
                 parent[max(ra, rb)] = min(ra, rb)
     got = {r["doc_id"] for r in dict(cp.STAGES)["minhash_dedup"](spark, docs, SF).collect()}
     assert got == {d for d in sets if root(d) == d}
+
+
+def test_empty_and_unlabelled_tables(spark):
+    schema = documents(spark, SF).schema
+    empty = spark.createDataFrame([], schema)
+    for _, stage in cp.STAGES:
+        assert stage(spark, empty, SF).count() == 0
+    rows = [(1, "some words here", None, None, 15), (2, "12 34", None, "s", 5), (3, None, None, "s", 0), (4, "été", None, "s", 3)]
+    kept = dict(cp.STAGES)["language_id"](spark, spark.createDataFrame(rows, schema), SF)
+    assert kept.columns == list(cp.COLUMNS) and {r["doc_id"] for r in kept.collect()} == {1, 4}
+
+
+def test_repeated_rows_become_one(spark):
+    schema = documents(spark, SF).schema
+    text = "one two three four five six seven"
+    rows = [(5, text, "en", "s", 1), (5, text, "en", "s", 1), (6, text, "en", "s", 1), (7, "other words", "en", "s", 1), (None, text, "en", "s", 1), (None, text, "en", "s", 1)]
+    got = dict(cp.STAGES)["minhash_dedup"](spark, spark.createDataFrame(rows, schema), SF)
+    assert sorted((r["doc_id"] for r in got.collect()), key=str) == [5, 7, None, None]
