@@ -135,14 +135,16 @@ def shingles(docs: DataFrame) -> DataFrame:
     return narrow(docs).mapInArrow(_sets, "id long, shingles array<long>, map array<long>")
 
 
-def split_join(rows: DataFrame, few: DataFrame, counts: DataFrame, total: int) -> DataFrame:
-    """``rows`` (bucket, id, ...) joined by bucket with ``few``, which has a few rows for a bucket.
+def split_join(rows: DataFrame, few: DataFrame, counts: DataFrame, total: int, each: int = 1) -> DataFrame:
+    """``rows`` (bucket, id, ...) joined by bucket with ``few``, which has up to ``each`` rows for a bucket.
 
     counts: (bucket, c), rows of each bucket, which are ``total`` together. A bucket that holds a large
     share of them is split by id, and its few rows are repeated for each split. At most SHARE buckets
-    come to the driver and are broadcast.
+    come to the driver and are broadcast; a bucket counts as large only where all that is repeated stays
+    below a thirtieth of ``rows``.
     """
-    large = counts.where(F.col("c") * SHARE > total).select("bucket", F.ceil(F.col("c") * SHARE / max(total, 1)).cast("int").alias("splits")).collect()
+    share = min(SHARE, total // (64 * each))
+    large = counts.where(F.col("c") * share > total).select("bucket", F.ceil(F.col("c") * share / max(total, 1)).cast("int").alias("splits")).collect()
     if not large:
         return rows.join(few, "bucket")
     splits = F.broadcast(rows.sparkSession.createDataFrame(large, "bucket long, splits int"))
@@ -224,7 +226,7 @@ def _resolve(members: DataFrame, sets: DataFrame, comp: DataFrame, numerator: in
         differ = lambda words: sum((F.bit_count(F.col("map")[i].bitwiseXOR(F.col("hub_map")[i])) for i in words), F.lit(0))
         few = lambda words: (denominator + numerator) * differ(words) <= most
         possible = (F.col("comp") != F.col("hub_comp")) & few(range(MAP_WORDS // 2)) & few(range(MAP_WORDS))
-        pairs = split_join(members, chosen, split, left["n"]).where(possible).select(F.greatest("id", "hub").alias("u"), F.least("id", "hub").alias("v")).distinct()
+        pairs = split_join(members, chosen, split, left["n"], hubs).where(possible).select(F.greatest("id", "hub").alias("u"), F.least("id", "hub").alias("v")).distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["u", "v"], "left_anti")
         judged, seen = cut_measured(_similar(pairs, sets, numerator, denominator), "judged", links=F.coalesce(F.sum(F.col("linked").cast("long")), F.lit(0)))

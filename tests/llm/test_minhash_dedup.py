@@ -72,7 +72,7 @@ def test_split_joins_are_joins(spark, monkeypatch):
     want = sorted(map(tuple, rows.join(few, "bucket").select("bucket", "id", "k").collect()))
     for share in (1, 7, 1000):
         monkeypatch.setattr(md, "SHARE", share)
-        assert sorted(map(tuple, md.split_join(rows, few, counts, 2000).select("bucket", "id", "k").collect())) == want
+        assert sorted(map(tuple, md.split_join(rows, few, counts, 2000, 2).select("bucket", "id", "k").collect())) == want
 
 
 def test_written_tables_are_deleted(spark):
