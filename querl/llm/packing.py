@@ -6,14 +6,17 @@ islands evolve packings: an individual is a set of bins; crossover injects whole
 one parent into the other, removes the bins that hold duplicates, and puts the displaced pieces back
 by best fit; mutation empties the worst-filled bins and refits their pieces. Fitness is the number
 of bins, then the mean of squared fills (the Falkenauer cost). After each epoch an island's elite moves to the next
-island of the ring. A district's best packing keeps its well-filled bins; the pieces of the others
+island of the ring. An island starts from best fit over falling lengths and stops where its packing meets
+the lower bound, as nothing can better it; where many short pieces fill every gap, as in prose, that is
+often at once. A district's best packing keeps its well-filled bins; the pieces of the others
 go to the next level, where districts are fewer, until one district is left or nothing changes.
 
 Individuals use multisets of lengths: pieces of one length are interchangeable, so a bin is a tuple
 of lengths, and the pieces take their places at the end, in the order of (doc_id, piece, digest).
 
-Defined results: a null text is empty and packs as its end id alone; repeated doc_ids are documents of
-their own; an empty table gives an empty result.
+Defined results: a null text is empty and packs as its end id alone; repeated and null doc_ids are documents
+of their own; a text of any length is tokenized whole and cut into pieces; pieces of one length are ties,
+which any order packs alike; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,9 +40,9 @@ CAPACITY = 2048
 DISTRICT = 6000
 """Pieces in a district, about."""
 ISLANDS = 2
-EPOCHS = 2
-GENERATIONS = 6
-POPULATION = 4
+EPOCHS = 3
+GENERATIONS = 30
+POPULATION = 8
 MOST_TASKS = 2048
 KEEP_FILL = 0.995
 """Bins filled at least so far are final at their level."""
@@ -204,7 +207,7 @@ ISLAND = "district long, island int, bins int, fill double, sizes binary, length
 
 
 def _island(key, table: pa.Table, capacity: int, epoch: int, islands: int) -> pa.Table:
-    """One island's epoch: its rows are the elites it holds (and those that came)."""
+    """One island's epoch: its rows are its elite and the one that came, or, before the first, the pieces as one bin."""
     district, island = key[0].as_py(), key[1].as_py()
     elite = [_unpack_bins(r["sizes"], r["lengths"]) for r in table.select(["sizes", "lengths"]).to_pylist()]
     lengths = [n for b in elite[0] for n in b]
@@ -237,7 +240,7 @@ def best_packings(items: DataFrame, districts: int, capacity: int, islands: int,
             moved = held.withColumn("island", F.pmod(F.col("island") + 1, F.lit(islands)))
             held = held.union(moved)
         held = held.repartition(tasks, "district", "island").groupBy("district", "island").applyInArrow(_epoch(capacity, epoch, islands), ISLAND)
-        held = cut(held, f"islands-{epoch}") if epoch == epochs - 1 else held
+        held = cut(held, f"islands-{epoch}")  # read twice: as what stays and as what moves
     best = held.groupBy("district").agg(F.max(F.struct(-F.col("bins"), "fill", -F.col("island"), "sizes", "lengths")).alias("m"))
     return best.select("district", "m.sizes", "m.lengths")
 

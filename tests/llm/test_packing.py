@@ -74,3 +74,43 @@ def test_evolution_beats_best_fit():
     best = pk.evolve(bins, [], 2048, seed=1, generations=200, population=8)
     assert pk.lower_bound(bins, 2048) <= len(best) <= len(start)
     assert pk.fitness(best, 2048) > pk.fitness(start, 2048)
+
+
+def hidden_perfect_packings(rng, districts, bins):
+    """Pieces that fill ``bins`` bins a district to the brim, three or four a bin; best fit over falling lengths needs more."""
+    rows = []
+    for d in range(districts):
+        own = []
+        for _ in range(bins):
+            x, y = rng.randint(550, 800), rng.randint(500, 700)
+            own += [x, y, 2048 - x - y]
+        rows += [(d, n) for n in own]
+    return rows
+
+
+def test_islands_better_best_fit_in_every_district(spark):
+    rng = random.Random(8)
+    rows = hidden_perfect_packings(rng, 4, 25)
+    items = spark.createDataFrame(rows, "district long, length long")
+    of = defaultdict(list)
+    for d, n in rows:
+        of[d].append(n)
+    plain = {d: pk.best_fit(sorted(x, reverse=True), 2048) for d, x in of.items()}
+    assert all(len(x) > pk.lower_bound(of[d], 2048) for d, x in plain.items())  # best fit misses the bound
+
+    def evolved(islands, epochs):
+        got = {r["district"]: pk._unpack_bins(r["sizes"], r["lengths"]) for r in pk.best_packings(items, 4, 2048, islands, epochs).collect()}
+        assert all(Counter(n for b in x for n in b) == Counter(of[d]) and max(map(sum, x)) <= 2048 for d, x in got.items())
+        return {d: pk.fitness(x, 2048) for d, x in got.items()}
+
+    alone, moved = evolved(1, 1), evolved(pk.ISLANDS, pk.EPOCHS)
+    start = {d: pk.fitness(x, 2048) for d, x in plain.items()}
+    assert all(moved[d] > start[d] for d in start)
+    assert sum(-x[0] for x in moved.values()) < sum(-x[0] for x in start.values())  # fewer bins
+    assert all(moved[d] >= alone[d] for d in alone) and any(moved[d] > alone[d] for d in alone)  # more islands and migration help
+
+
+def test_three_islands_keep_all_pieces(spark):
+    items = spark.createDataFrame([(0, n) for n in (900, 800, 700, 600, 500, 500)], "district long, length long")
+    seen = pk.best_packings(items, 1, 2048, 3, 2).collect()
+    assert len(seen) == 1 and sorted(n for b in pk._unpack_bins(seen[0]["sizes"], seen[0]["lengths"]) for n in b) == [500, 500, 600, 700, 800, 900]
