@@ -2,23 +2,32 @@
 
 Every context word is a restaurant whose customers are the words that follow it in training texts;
 the tables of all restaurants are the customers of one parent, the unigram restaurant, whose base is
-uniform over the vocabulary and one unknown word. A sweep draws the number of tables of every dish
-from its exact conditional (generalized Stirling numbers) given the other dishes' tables; for more
-customers than STIRLING the dish's customers are seated one after the other, in growing batches.
-After BURN_IN sweeps SAMPLES states are kept, and the predictive probabilities are averaged over
-them:
+uniform over the vocabulary and one unknown word. Sampling goes up, down and up the hierarchy:
+
+1. Every dish begins with one table. The parent is seated on these, and its predictive probabilities
+   go to the context restaurants as their base.
+2. Each sweep there draws the tables of every dish from their conditional (generalized Stirling
+   numbers) given the tables the restaurant had after the sweep before, all dishes at once. A dish of
+   more than STIRLING customers is seated in growing batches instead, which is an approximation. After
+   BURN_IN sweeps SAMPLES states are kept.
+3. For each of them the parent is seated on its tables; predictive probabilities are averaged:
 
     P(w|u) = mean over s of (c(u,w) - D2 t_s(u,w) + (T2 + D2 t_s(u)) P_s(w)) / (T2 + c(u))
     P_s(w) = (t_s(.,w) - D1 k_s(w) + (T1 + D1 k_s(.)) / (V + 1)) / (T1 + t_s(.))
 
+All counts and totals in them cover all training texts. While the parent is seated its number of
+tables in all is taken from the part's own and the whole vocabulary.
+
 Texts are packed into compressed blocks, shuffled once by block. Blocks and parts talk in sorted
 arrays: parts of words (by hash) number the words and count them; blocks send the distinct word
 pairs they hold to the parts of context words; those seat customers, tell the parts of words how many
-tables each dish has, and answer the blocks. All counts cover all training texts.
+tables each dish has, and answer the blocks. How many parts there are follows from the bytes of all
+texts, and draws are seeded by part, so scores depend on the table alone, not on files or blocks.
 
 Words: bytes other than 0x20 and 0x09-0x0D, A-Z folded, told apart by 64-bit hashes; every text ends
 with an end token, which is also the context of its first word. Defined results: a null text is its
-end token alone; a null doc_id belongs to the training texts; an empty table gives an empty result.
+end token alone; a null doc_id belongs to the training texts; repeated rows count each; texts of any
+length are scored whole; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,14 +46,15 @@ from querl.llm.common import flat, narrow, release, ship
 from querl.llm.vec import word_hashes
 
 BLOCK_BYTES = 5 << 20
-MOST_PARTS = 1 << 16
+PART_BYTES = 5 << 20
+"""Bytes of text for each part: parts grow in number, not in size."""
 STIRLING = 64
 BURN_IN, SAMPLES = 2, 3
 D2, T2 = 0.85, 1.0
 D1, T1 = 0.6, 10.0
 END = np.uint64(0x1F3D5B79A2C4E6F1)
-LEVELS_PER_DOUBLING = 8
-"""How finely a block tells a part of contexts a word's frequency, the first guess at its unigram probability."""
+LEVELS_PER_HALVING = 64
+"""How finely a part of contexts is told a word's unigram probability."""
 
 
 # Messages ----------------------------------------------------------------------------------------
@@ -205,12 +215,12 @@ class Words:
             at += n
 
 
-NUMBERED = "block long, part long, numbers binary, counts binary"
+NUMBERED = "block long, part long, numbers binary"
 
 
 def _number_words(key, table: pa.Table, parts: int) -> pa.Table:
     part, w = key[0].as_py(), Words(table)
-    return _table([(block, part, pack(w.rank[own] * parts + part), pack(w.counts[own])) for block, own in w.answers()], NUMBERED)
+    return _table([(block, part, pack(w.rank[own] * parts + part)) for block, own in w.answers()], NUMBERED)
 
 
 # Seating -----------------------------------------------------------------------------------------
@@ -259,52 +269,45 @@ def seat(c: np.ndarray, others: np.ndarray, base: np.ndarray, discount: float, s
 
 # Parts of contexts ---------------------------------------------------------------------------------
 
-PAIRS = "part long, block long, contexts binary, followers binary, words binary, counts binary, levels binary, total long, vocabulary long"
+PAIRS = "part long, block long, contexts binary, followers binary, words binary, counts binary"
 
 
 def _send_pairs(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     for row, b in _blocks(batches, parts):
         answers = sorted(row["answers"], key=lambda r: r["part"])
         number = np.concatenate([unpack(r["numbers"]) for r in answers])
-        count = np.concatenate([unpack(r["counts"]) for r in answers])
-        level = np.round(np.log2(count + 1) * LEVELS_PER_DOUBLING).astype(np.int64)
         context, word, _, n = b.pairs()
         rows = []
         for x, y in zip(*map(np.ndarray.tolist, _runs(b.home[context])), strict=True):
             first, end = _runs(context[x:y])
-            own = word[x:y]
-            numbers, one = np.unique(number[own], return_index=True)  # the receiver finds the same numbers in the same order
-            rows.append((int(b.home[context[x]]), b.number, pack(number[context[x:y][first]]), pack(end - first), pack(number[own]), pack(n[x:y]), pack(level[own[one]]), row["total"], row["vocabulary"]))
+            rows.append((int(b.home[context[x]]), b.number, pack(number[context[x:y][first]]), pack(end - first), pack(number[word[x:y]]), pack(n[x:y])))
         yield from _table(rows, PAIRS).to_batches()
 
 
-class Restaurants:
-    """A part's restaurants, seated: samples of table counts for every (context, word)."""
+class Pairs:
+    """A part's distinct (context, word) pairs over all blocks, in the order of their numbers."""
 
-    def __init__(self, part: int, table: pa.Table) -> None:
-        self.rows = table.select(["block"]).to_pylist()
-        columns = {n: [unpack(x) for x in table.column(n).to_pylist()] for n in ("contexts", "followers", "words", "levels", "counts")}
-        columns["levels"] = [x[np.unique(w, return_inverse=True)[1]] for x, w in zip(columns["levels"], columns["words"], strict=True)]
-        total = table.column("total")[0].as_py()
+    def __init__(self, table: pa.Table) -> None:
+        self.blocks = table.column("block").to_pylist()
+        columns = {n: [unpack(x) for x in table.column(n).to_pylist()] for n in ("contexts", "followers", "words", "counts")}
         self.contexts, self.followers = columns["contexts"], columns["followers"]
         context = np.concatenate([np.repeat(c, f) for c, f in zip(columns["contexts"], columns["followers"], strict=True)])
-        word, level, count = (np.concatenate(columns.pop(n)) for n in ("words", "levels", "counts"))
+        word, count = (np.concatenate(columns.pop(n)) for n in ("words", "counts"))
         order = np.lexsort((word, context))
         new = np.append(True, (np.diff(context[order]) != 0) | (np.diff(word[order]) != 0))
         group = np.cumsum(new) - 1
-        self.which = np.empty(len(order), np.int64)
+        self.which = np.empty(len(order), np.int64)  # of every pair that was sent
         self.which[order] = group
         head = order[new]
         self.c = np.bincount(group, weights=count[order], minlength=len(head)).astype(np.int64)
         self.word = word[head]
         self.names, self.u = np.unique(context[head], return_inverse=True)
-        self.customers = np.bincount(self.u, weights=self.c, minlength=len(self.names))
-        seen = 2.0 ** (level[head] / LEVELS_PER_DOUBLING)
-        base = np.minimum(seen / (total + 1), 1.0)
-        rng = np.random.default_rng([part, 5])
-        stirling = log_stirling(D2)
+
+    def seated(self, part: int, base: np.ndarray) -> list[np.ndarray]:
+        """Samples of the tables of every pair, given the ``base`` probability of each pair's word."""
+        rng, stirling = np.random.default_rng([part, 5]), log_stirling(D2)
         t = (self.c > 0).astype(np.int64)
-        self.samples: list[np.ndarray] = []
+        samples: list[np.ndarray] = []
         busy = np.flatnonzero(self.c > 1)
         for sweep in range(BURN_IN + SAMPLES):
             tables = np.bincount(self.u, weights=t, minlength=len(self.names))
@@ -312,25 +315,75 @@ class Restaurants:
             t = t.copy()
             t[busy] = seat(self.c[busy], tables[self.u[busy]] - own, base[busy], D2, T2, stirling, rng)
             if sweep >= BURN_IN:
-                self.samples.append(t)
+                samples.append(t)
+        return samples
 
 
-TABLES = "part long, numbers binary, tables binary"
+FIRST = "part long, home long, numbers binary, tables binary, total long"
 
 
-def _send_tables(key, table: pa.Table, parts: int) -> pa.Table:
-    r = Restaurants(key[0].as_py(), table)
-    words, which = np.unique(r.word, return_inverse=True)
-    sums = [np.bincount(which, weights=t, minlength=len(words)).astype(np.int64) for t in r.samples]
+def _send_first(key, table: pa.Table, parts: int) -> pa.Table:
+    """To each part of words: how many dishes a word is here, one table each."""
+    home, p = key[0].as_py(), Pairs(table)
+    words, n = np.unique(p.word[p.c > 0], return_counts=True)
+    order = np.lexsort((words, words % parts))
+    rows = []
+    for x, y in zip(*map(np.ndarray.tolist, _runs(words[order] % parts)), strict=True):
+        own = order[x:y]
+        rows.append((int(words[own[0]] % parts), home, pack(words[own] // parts), pack(n[own]), int(n[own].sum())))
+    return _table(rows, FIRST)
+
+
+BASES = "part long, numbers binary, levels binary"
+
+
+def _answer_bases(key, words: pa.Table, first: pa.Table, parts: int) -> pa.Table:
+    """To each part of contexts: its words' probabilities under the parent seated on one table for each dish."""
+    if not len(words) or not len(first):
+        return _table([], BASES)
+    part, w = key[0].as_py(), Words(words)
+    rows = [(r["home"], unpack(r["numbers"]), unpack(r["tables"])) for r in first.to_pylist()]
+    customers = np.zeros(len(w.words), np.int64)
+    for _, own, n in rows:
+        customers[own] += n
+    vocabulary, total = words.column("vocabulary")[0].as_py(), words.column("dishes")[0].as_py()
+    counted = customers[w.rank]
+    tables = seat_parent(counted, vocabulary, np.random.default_rng([part, 3]))
+    every = tables.sum() * vocabulary / max(1, np.count_nonzero(counted))
+    p = np.empty(len(customers))
+    p[w.rank] = (counted - D1 * tables + (T1 + D1 * every) / (vocabulary + 1)) / (T1 + total)
+    level = np.round(-np.log2(p) * LEVELS_PER_HALVING).astype(np.int64)
+    return _table([(home, pack(own * parts + part), pack(level[own])) for home, own, _ in rows], BASES)
+
+
+SEATED = "part long, sample_of long, numbers binary, tables binary"
+
+
+def _seat_contexts(key, table: pa.Table, bases: pa.Table, parts: int) -> pa.Table:
+    """Tables of each word here in all samples, to the parts of words; tables of every pair, to this part itself.
+
+    sample_of is -1 for the former, and the number of a sample for the latter.
+    """
+    if not len(table):
+        return _table([], SEATED)
+    part, p = key[0].as_py(), Pairs(table)
+    words, which = np.unique(p.word, return_inverse=True)
+    base = np.zeros(len(words))
+    for numbers, levels in zip(bases.column("numbers").to_pylist(), bases.column("levels").to_pylist(), strict=True):
+        base[np.searchsorted(words, unpack(numbers))] = 2.0 ** (-unpack(levels) / LEVELS_PER_HALVING)
+    samples = p.seated(part, base[which])
+    sums = [np.bincount(which, weights=t, minlength=len(words)).astype(np.int64) for t in samples]
     order = np.lexsort((words, words % parts))
     some = order[sums[0][order] > 0]
-    part = words[some] % parts
+    home = words[some] % parts
     rows = []
-    for x, y in zip(*map(np.ndarray.tolist, _runs(part)), strict=True):
+    for x, y in zip(*map(np.ndarray.tolist, _runs(home)), strict=True):
         own = some[x:y]
-        rows.append((int(part[x]), pack(words[own] // parts), pack(np.concatenate([s[own] for s in sums]))))
-    out = _table(rows, TABLES)
-    del r
+        rows.append((int(home[x]), -1, pack(words[own] // parts), pack(np.concatenate([s[own] for s in sums]))))
+    pressed = zstandard.ZstdCompressor(3)
+    rows += [(part, s, b"", pressed.compress(pack(t))) for s, t in enumerate(samples)]
+    out = _table(rows, SEATED)
+    del p
     release()
     return out
 
@@ -338,21 +391,24 @@ def _send_tables(key, table: pa.Table, parts: int) -> pa.Table:
 SHARES = "block long, part long, counts binary, seats binary, customers binary, tables binary"
 
 
-def _send_shares(key, table: pa.Table) -> pa.Table:
+def _send_shares(key, table: pa.Table, seated: pa.Table) -> pa.Table:
     """For each block: every pair's customers and tables (all samples together), every context's customers and tables (by sample)."""
-    part = key[0].as_py()
-    r = Restaurants(part, table)
-    seats = np.sum(r.samples, axis=0)
-    customers = r.customers.astype(np.int64)
-    tables = np.stack([np.bincount(r.u, weights=s, minlength=len(r.names)).astype(np.int64) for s in r.samples])
+    if not len(table):
+        return _table([], SHARES)
+    part, p = key[0].as_py(), Pairs(table)
+    own = sorted((r["sample_of"], r["tables"]) for r in seated.to_pylist() if r["sample_of"] >= 0)
+    samples = [unpack(zstandard.ZstdDecompressor().decompress(t)) for _, t in own]
+    seats = np.sum(samples, axis=0)
+    customers = np.bincount(p.u, weights=p.c, minlength=len(p.names)).astype(np.int64)
+    tables = np.stack([np.bincount(p.u, weights=s, minlength=len(p.names)).astype(np.int64) for s in samples])
     rows, at = [], 0
-    for row, contexts, followers in zip(r.rows, r.contexts, r.followers, strict=True):
-        own = r.which[at : at + int(followers.sum())]
-        u = np.searchsorted(r.names, contexts)
-        rows.append((row["block"], part, pack(r.c[own]), pack(seats[own]), pack(customers[u]), pack(tables[:, u].ravel())))
+    for block, contexts, followers in zip(p.blocks, p.contexts, p.followers, strict=True):
+        own = p.which[at : at + int(followers.sum())]
+        u = np.searchsorted(p.names, contexts)
+        rows.append((block, part, pack(p.c[own]), pack(seats[own]), pack(customers[u]), pack(tables[:, u].ravel())))
         at += len(own)
     out = _table(rows, SHARES)
-    del r
+    del p
     release()
     return out
 
@@ -360,47 +416,51 @@ def _send_shares(key, table: pa.Table) -> pa.Table:
 # The parent restaurant -------------------------------------------------------------------------------
 
 
+def seat_parent(customers: np.ndarray, vocabulary: int, rng: np.random.Generator) -> np.ndarray:
+    """Tables of a part's words in the unigram restaurant, whose words are ``vocabulary`` in all."""
+    stirling = log_stirling(D1)
+    t = (customers > 0).astype(np.int64)
+    scale = vocabulary / max(1, int(t.sum()))  # words fall to parts by hash, so parts are alike
+    base = np.full(len(t), 1.0 / (vocabulary + 1))
+    for _ in range(BURN_IN):
+        t = seat(customers, np.maximum(t.sum() * scale - t, 0.0), base, D1, T1, stirling, rng)
+    return t
+
+
 class Parent:
     """A part of the unigram restaurant, seated: customers and tables of each word in each sample."""
 
-    def __init__(self, part: int, words: Words, tables: pa.Table, parts: int) -> None:
+    def __init__(self, part: int, words: Words, seated: pa.Table, vocabulary: int) -> None:
         n = len(words.words)
         self.customers = np.zeros((SAMPLES, n), np.int64)
-        for r in tables.to_pylist():
-            own, t = unpack(r["numbers"]), unpack(r["tables"]).reshape(SAMPLES, -1)
-            self.customers[:, own] += t
+        for r in seated.to_pylist():
+            if r["sample_of"] < 0:
+                own, t = unpack(r["numbers"]), unpack(r["tables"]).reshape(SAMPLES, -1)
+                self.customers[:, own] += t
         self.customers = self.customers[:, words.rank]
-        known = int((words.counts > 0).sum())
         rng = np.random.default_rng([part, 7])
-        stirling = log_stirling(D1)
-        self.tables = np.zeros_like(self.customers)
-        base = np.full(n, 1.0 / (known * parts + 1))  # parts are alike: words fall to them by hash
-        for s in range(SAMPLES):
-            t = (self.customers[s] > 0).astype(np.int64)
-            for _ in range(BURN_IN):
-                t = seat(self.customers[s], (t.sum() * parts - t).astype(float), base, D1, T1, stirling, rng)
-            self.tables[s] = t
+        self.tables = np.stack([seat_parent(c, vocabulary, rng) for c in self.customers])
 
 
 UNIGRAMS = "block long, part long, counts binary, customers binary, tables binary"
 
 
-def _answer_unigrams(key, words: pa.Table, tables: pa.Table, parts: int) -> pa.Table:
+def _answer_unigrams(key, words: pa.Table, seated: pa.Table) -> pa.Table:
     if not len(words):
         return _table([], UNIGRAMS)
     part, w = key[0].as_py(), Words(words)
-    p = Parent(part, w, tables, parts)
+    p = Parent(part, w, seated, words.column("vocabulary")[0].as_py())
     return _table([(block, part, pack(w.counts[own]), pack(p.customers[:, own].ravel()), pack(p.tables[:, own].ravel())) for block, own in w.answers()], UNIGRAMS)
 
 
 SUMS = ", ".join(["total long", "vocabulary long", *(f"customers{s} long, tables{s} long" for s in range(SAMPLES))])
 
 
-def _sum_unigrams(key, words: pa.Table, tables: pa.Table, parts: int) -> pa.Table:
+def _sum_unigrams(key, words: pa.Table, seated: pa.Table) -> pa.Table:
     if not len(words):
         return _table([], SUMS)
     w = Words(words)
-    p = Parent(key[0].as_py(), w, tables, parts)
+    p = Parent(key[0].as_py(), w, seated, words.column("vocabulary")[0].as_py())
     row = [int(w.counts.sum()), int((w.counts > 0).sum())]
     for s in range(SAMPLES):
         row += [int(p.customers[s].sum()), int(p.tables[s].sum())]
@@ -409,7 +469,7 @@ def _sum_unigrams(key, words: pa.Table, tables: pa.Table, parts: int) -> pa.Tabl
 
 # Scores ----------------------------------------------------------------------------------------------
 
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
 
 
 def _score(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
@@ -437,17 +497,17 @@ def _score(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordB
         begin = np.append(0, b.ends[:-1])
         columns = [
             pa.array(b.ids, pa.int64()), pa.array(b.out), pa.array(b.ends - begin), pa.array(known[b.ends] - known[begin]), pa.array(np.full(len(b.ids), total, np.int64)),
-            pa.array(base[b.ends] - base[begin]), pa.array(log_p[b.ends] - log_p[begin]),
+            pa.array(base[b.ends] - base[begin]), pa.array(log_p[b.ends] - log_p[begin]), pa.array(10 ** ((log_p[begin] - log_p[b.ends]) / (b.ends - begin))),
         ]
         yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCORES.split(", ")])
 
 
-def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every whole text."""
+def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) of every whole text."""
     ship(docs.sparkSession)
     own = narrow(docs)
     size = own.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    parts = max(1, min(MOST_PARTS, -(-int(size) // block_bytes)))
+    parts = max(1, -(-int(size) // part_bytes))
     packed = own.mapInArrow(partial(_pack_blocks, block_bytes=block_bytes), PACKED)
     blocks = packed.where("block is not null").repartition(parts, "block")  # joins ask for this: said here, all read one exchange
     reports = blocks.mapInArrow(partial(_report_words, parts=parts), WORDS).repartition(parts, "part")
@@ -458,20 +518,23 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         rest = [c for c in messages.columns if c != "block"]
         return messages.where("block is not null").repartition(parts, "block").groupBy("block").agg(F.collect_list(F.struct(*rest)).alias(name))
 
-    counted = reports.groupBy("part").applyInArrow(lambda key, t: _count_words(key, t), "total long, vocabulary long")
-    totals = counted.agg(F.sum("total").alias("total"), F.sum("vocabulary").alias("vocabulary"))  # one row
-    with_numbers = blocks.join(gathered(numbered, "answers"), "block").join(F.broadcast(totals))
+    with_numbers = blocks.join(gathered(numbered, "answers"), "block")
     pairs = with_numbers.mapInArrow(partial(_send_pairs, parts=parts), PAIRS).repartition(parts, "part")
-    tables = pairs.groupBy("part").applyInArrow(lambda key, t: _send_tables(key, t, parts), TABLES).repartition(parts, "part")
-    shares = pairs.groupBy("part").applyInArrow(lambda key, t: _send_shares(key, t), SHARES)
-    both = reports.groupBy("part").cogroup(tables.groupBy("part"))
-    unigrams = both.applyInArrow(lambda key, w, t: _answer_unigrams(key, w, t, parts), UNIGRAMS)
-    sums = both.applyInArrow(lambda key, w, t: _sum_unigrams(key, w, t, parts), SUMS)
+    first = pairs.groupBy("part").applyInArrow(lambda key, t: _send_first(key, t, parts), FIRST).repartition(parts, "part")
+    vocabulary = reports.groupBy("part").applyInArrow(lambda key, t: _count_words(key, t), "vocabulary long").agg(F.sum("vocabulary").alias("vocabulary"))  # one row
+    dishes = first.agg(F.sum("total").alias("dishes"))  # one row
+    words = reports.join(F.broadcast(vocabulary)).join(F.broadcast(dishes))
+    bases = words.groupBy("part").cogroup(first.groupBy("part")).applyInArrow(lambda key, w, t: _answer_bases(key, w, t, parts), BASES)
+    seated = pairs.groupBy("part").cogroup(bases.groupBy("part")).applyInArrow(lambda key, p, b: _seat_contexts(key, p, b, parts), SEATED)
+    seated = seated.where("part is not null").repartition(parts, "part")
+    shares = pairs.groupBy("part").cogroup(seated.groupBy("part")).applyInArrow(lambda key, p, s: _send_shares(key, p, s), SHARES)
+    both = words.groupBy("part").cogroup(seated.groupBy("part"))
+    unigrams = both.applyInArrow(lambda key, w, s: _answer_unigrams(key, w, s), UNIGRAMS)
+    sums = both.applyInArrow(lambda key, w, s: _sum_unigrams(key, w, s), SUMS)
     sums = sums.agg(*[F.sum(c).alias(c) for c in sums.columns])  # one row
     ready = blocks.join(gathered(unigrams, "unigrams"), "block").join(gathered(shares, "shares"), "block").join(F.broadcast(sums))
     return ready.mapInArrow(partial(_score, parts=parts), SCORES)
 
 
 def _count_words(key, table: pa.Table) -> pa.Table:
-    w = Words(table)
-    return _table([(int(w.counts.sum()), int((w.counts > 0).sum()))], "total long, vocabulary long")
+    return _table([(int((Words(table).counts > 0).sum()),)], "vocabulary long")

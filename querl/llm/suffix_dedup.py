@@ -7,8 +7,9 @@ grams (its anchor), so neighbouring strings mostly travel together, as one run o
 1. Each block of documents reports the anchors it has, 4 bytes each; a part answers with a bit for
    each: does another document have it?
 2. Blocks send the distinct runs of shared anchors, with the smallest doc_id that has each.
-3. A part sorts the suffixes of its distinct runs: a multikey quicksort over 8-byte characters to a
-   shallow depth of 24 bytes, then blind tries for the groups still equal. Suffixes equal over 50
+3. A part sorts the suffixes of its distinct runs: a multikey sort over 8-byte characters to a shallow
+   depth of 24 bytes, which splits all open groups by their next character at once (numpy's sort stands
+   where a multikey quicksort would partition), then blind tries for the groups still equal. Suffixes equal over 50
    bytes form a class; a run is told at which offsets its class has a smaller doc_id elsewhere.
 4. Blocks mark the covered bytes.
 
@@ -44,7 +45,6 @@ SHALLOW = 24
 HOT_RUNS = 16
 """An anchor with more distinct runs than this in one block is hot."""
 BLOCK_BYTES = 4 << 20
-MOST_PARTS = 1 << 16
 ALONE = 0x80
 """Set in the length of a string sent by itself: it stands for all equal strings of its block, and so does the answer to it."""
 NULL_ID = np.iinfo(np.int64).min
@@ -477,7 +477,7 @@ def dedup(docs: DataFrame, with_text: bool = False, carry: tuple[str, ...] = (),
     ship(docs.sparkSession)
     own = narrow(docs, *carry)
     n = blocks_of(own, block_bytes)
-    parts = min(n, MOST_PARTS)
+    parts = n  # parts grow in number, not in size
     block = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)).alias("block")
     texts = own.select(block, "*").repartition(n, "block")
     by_block = texts.groupBy("block")

@@ -4,12 +4,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import functions as F
 
 from querl.llm import pitman_yor as py
 from querl.llm.common import documents
+from tests.llm.test_tokens import thue_morse
 
 
 def tokens_of(text):
@@ -41,7 +40,7 @@ def test_held_out_is_crc32_mod_7():
 def test_sample_table(spark):
     docs = documents(spark, "/root/testdata/sf0.001")
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
-    got = py.score(docs.withColumn("part", F.lit("x")), block_bytes=60_000).collect()
+    got = py.score(docs.withColumn("part", F.lit("x")), block_bytes=60_000, part_bytes=60_000).collect()
     check(rows, got)
     out = [r for r in got if r["held_out"]]
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)  # better on texts it hasn't seen
@@ -56,7 +55,7 @@ def test_probabilities_sum_to_one(spark):
     seen = sorted({w for _, x in rows for w in x.split()})
     # all one-word texts, each possible next word after the first context: P(w|end) P(end|w); two words more give P(w|w11)
     asked = [f"w11 {w} w3" for w in [*seen, "unknown"]] + ["w11", *(f"{w} w3" for w in [*seen, "unknown"])]
-    got = {r["doc_id"]: r["score"] for r in py.score(spark.createDataFrame(rows + list(zip(out, asked)), "doc_id long, text string"), block_bytes=300).collect()}
+    got = {r["doc_id"]: r["score"] for r in py.score(spark.createDataFrame(rows + list(zip(out, asked)), "doc_id long, text string"), block_bytes=300, part_bytes=300).collect()}
     score = {x: got[d] for d, x in zip(out, asked)}
     # P(w11|end) sum of P(w|w11) over all words and the end is P(w11|end); P(w3|w) P(end|w3) cancel by P(w|end)
     assert all(math.isfinite(x) and x < 0 for x in score.values())
@@ -96,36 +95,105 @@ def test_seating_matches_the_chinese_restaurant():
 
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (None, "a b"), (3, "word " * 3000), (4, "x A"), (4, "x a"), (5, "É é\x0by")]
-    check(rows, py.score(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=100).collect())
+    check(rows, py.score(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=100, part_bytes=100).collect())
 
 
 def test_empty_table(spark):
     assert py.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_base_is_each_words_own_frequency(spark, monkeypatch):
-    # many parts: numbers mix the parts, so only a word's own level tells its frequency
-    rng, parts = np.random.default_rng(2), 37
-    text = b" ".join(b"w%d" % x for x in np.minimum(rng.zipf(1.3, 30_000), 3000))
-    packed = pa.RecordBatch.from_pylist([{"doc_id": 0, "text": text.decode()}])
-    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
-    [row] = [r for b in py._pack_blocks(iter([packed]), 1 << 20) for r in b.to_pylist()]
-    reports = pa.Table.from_batches(py._report_words(iter([pa.RecordBatch.from_pylist([row])]), parts))
-    answers, count = [], {}
-    for part in range(parts):
-        own = reports.filter(pa.compute.equal(reports["part"], part))
-        if len(own):
-            answers += py._number_words([pa.scalar(part)], own, parts).select(["part", "numbers", "counts"]).to_pylist()
-            count |= dict(zip(py.unpack(answers[-1]["numbers"]), py.unpack(answers[-1]["counts"])))
-    total = sum(count.values())
-    sent = pa.Table.from_batches(py._send_pairs(iter([pa.RecordBatch.from_pylist([row | {"answers": answers, "total": total, "vocabulary": len(count)}])]), parts))
-    bases = []
-    monkeypatch.setattr(py, "seat", lambda c, others, base, *rest: bases.append(base) or np.ones_like(c))
-    seen = 0
-    for home in set(sent["part"].to_pylist()):
-        bases.clear()
-        r = py.Restaurants(home, sent.filter(pa.compute.equal(sent["part"], home)))
-        want = np.array([(count[w] + 1) / (total + 1) for w in r.word[r.c > 1]])
-        assert np.allclose(bases[0], want, rtol=0.05)
-        seen += len(want)
-    assert seen > 500
+def test_scores_depend_on_the_table_alone(spark):
+    docs = documents(spark, "/root/testdata/sf0.001").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    results = []
+    for partitions, block_bytes in ((3, 60_000), (5, 60_000), (2, 15_000), (4, 1 << 22)):
+        random.Random(partitions).shuffle(rows)
+        df = spark.createDataFrame(spark.sparkContext.parallelize(rows, partitions), "doc_id long, text string")
+        got = sorted(map(tuple, py.score(df, block_bytes=block_bytes, part_bytes=80_000).collect()))
+        results.append([(r[0], r[2], round(r[6], 6)) for r in got])
+    assert results[0] == results[1] == results[2] == results[3]
+    assert len(results[0]) == len(rows)
+
+
+def sampled_scores(train, asked, sweeps=150, burn=30):
+    """Mean predictive log10 probabilities by seating customers one at a time, tables and all, in both levels."""
+    rng = random.Random(1)
+    pairs = [(u, w) for t in train for u, w in zip([None, *tokens_of(t)[:-1]], tokens_of(t))]
+    v = len({w for _, w in pairs})
+    children, parent = {}, {}  # dish -> sizes of its tables
+
+    def p_parent(w):
+        k, n = sum(map(len, parent.values())), sum(map(sum, parent.values()))
+        own = parent.get(w, [])
+        return (sum(own) - py.D1 * len(own) + (py.T1 + py.D1 * k) / (v + 1)) / (py.T1 + n)
+
+    def p_child(u, w):
+        r = children.get(u, {})
+        n, t, own = sum(map(sum, r.values())), sum(map(len, r.values())), r.get(w, [])
+        return (sum(own) - py.D2 * len(own) + (py.T2 + py.D2 * t) * p_parent(w)) / (py.T2 + n)
+
+    def sit(restaurant, w, discount, new_weight):
+        own = restaurant.setdefault(w, [])
+        i = rng.choices(range(len(own) + 1), [x - discount for x in own] + [new_weight])[0]
+        if i == len(own):
+            own.append(1)
+            return True
+        own[i] += 1
+        return False
+
+    def leave(restaurant, w):
+        own = restaurant[w]
+        i = rng.choices(range(len(own)), own)[0]
+        own[i] -= 1
+        if own[i]:
+            return False
+        own.pop(i)
+        return True
+
+    def add(u, w):
+        r = children.setdefault(u, {})
+        t = sum(map(len, r.values()))
+        if sit(r, w, py.D2, (py.T2 + py.D2 * t) * p_parent(w)):
+            sit(parent, w, py.D1, (py.T1 + py.D1 * sum(map(len, parent.values()))) / (v + 1))
+
+    for u, w in pairs:
+        add(u, w)
+    total = {x: Counter() for x in asked}
+    for sweep in range(sweeps):
+        for u, w in pairs:
+            if leave(children[u], w):
+                leave(parent, w)
+            add(u, w)
+        if sweep >= burn:
+            for x in asked:
+                own = tokens_of(x)
+                for i, (u, w) in enumerate(zip([None, *own[:-1]], own)):
+                    total[x][i] += p_child(u, w) / (sweeps - burn)
+    return {x: sum(math.log10(p) for p in total[x].values()) for x in asked}
+
+
+def test_scores_are_those_of_a_plain_sampler(spark):
+    rng = random.Random(3)
+    follow = {w: rng.choices(range(9), k=3) for w in range(9)}
+    rows, w = [], 0
+    for d in range(60):
+        own = []
+        for _ in range(rng.randint(1, 12)):
+            w = rng.choice(follow[w])
+            own.append(f"w{w}")
+        rows.append((d, " ".join(own)))
+    rows = [r for r in rows if not py.held_out(r[0])]
+    asked = ["w1 w2 w3", "w4", "unknown w1", "w5 w5 w5 w5", "w0 w7 w8 unknown", ""]
+    out = [d for d in range(1000, 9000) if py.held_out(d)]
+    got = {r["doc_id"]: r for r in py.score(spark.createDataFrame(rows + list(zip(out, asked)), "doc_id long, text string")).collect()}
+    want = sampled_scores([t for _, t in rows], asked)
+    for d, x in zip(out, asked):  # the mean of three samples, so with some noise
+        n = len(tokens_of(x))
+        assert abs(got[d]["score"] - want[x]) < 0.1 + 0.08 * n, (x, got[d]["score"], want[x])
+        assert math.isclose(got[d]["perplexity"], 10 ** (-got[d]["score"] / n))
+
+
+def test_words_of_equal_polynomials_are_two_words(spark):
+    rows = [(d, t) for d, t in enumerate(thue_morse(1024)) if not py.held_out(d)]
+    got = py.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    check(rows, got)
