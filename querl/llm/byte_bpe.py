@@ -5,7 +5,9 @@ token. Tier two: other pre-tokens are merged by a heap of adjacent pairs over li
 rank first and leftmost among equals. Pre-tokens are those of the vocabulary's pattern; texts are
 handled by their distinct chunks (see tokens.py), which gives the ids of the whole text.
 
-Defined results: a null text is empty; an empty text has no ids; special tokens are ordinary text.
+Defined results: a null text is empty; an empty text has no ids; special tokens are ordinary text; texts of
+any length are coded whole; of pairs with one rank the leftmost merges; every row gives a row, repeated
+or with a null doc_id or not; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

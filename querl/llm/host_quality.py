@@ -10,7 +10,12 @@ A word is a maximal run of characters other than 0x20 and 0x09-0x0D. Repeated th
 found by sorting (hash, position) pairs within the row, so no words leave it.
 
 Defined results: a null text has no words and no characters; a null source is a host of its own;
-every row is kept as a row, repeated or not; an empty table gives an empty result.
+every row is kept as a row, repeated or with a null doc_id or not, and counts for its host; texts of any
+length are judged whole, within their row; hosts of equal rates get equal verdicts; an empty table gives
+an empty result; columns other than doc_id, text and source are not read.
+
+Hosts whose failures are as many as sampling explains are all shrunk to the overall rate, so where
+failures are spread evenly over hosts no host is rejected and only the documents' own rules count.
 """
 
 from __future__ import annotations
