@@ -31,7 +31,7 @@ from querl.llm.common import flat, narrow, ship, slices
 from querl.llm.crf import chains_at, cut_chains, posteriors, train
 from querl.llm.vec import gram_hashes, mix_own, prefix_sums, ragged, run_hashes, word_bounds
 
-SAMPLE_DOCS = 300
+SAMPLE_DOCS = 150
 BITS = 17
 STRETCH = 12
 """Words from one document at a time in a training chain."""
@@ -124,12 +124,13 @@ def fit_texts(texts: list[str], labels: list[str], seed: int = 9) -> Model:
     if not names or not len(starts):
         return Model([], np.zeros((1, 1)), np.zeros((1, 1)))
     sums = prefix_sums(data)
-    own = affix_slots(sums, starts, ends)
-    grams = gram_slots(data, sums)
+    own = affix_slots(sums, starts, ends).astype(np.int32)
+    grams = gram_slots(data, sums).astype(np.int32)
+    del sums
     n = np.maximum(ends - starts - 2, 0)
     size = own.shape[1] + n
     features_at = np.append(0, np.cumsum(size))
-    features = np.empty(features_at[-1], np.int64)
+    features = np.empty(features_at[-1], np.int32)
     for k in range(own.shape[1]):
         features[features_at[:-1] + k] = own[:, k]
     features[ragged(features_at[:-1] + own.shape[1], n)] = grams[ragged(starts, n)]
@@ -139,6 +140,7 @@ def fit_texts(texts: list[str], labels: list[str], seed: int = 9) -> Model:
     order = ragged(begin[perm := rng.permutation(len(begin))], length[perm])
     size = size[order]
     shuffled = features[ragged(features_at[order], size)]
+    del features, own, grams
     chain_at, chain_n = cut_chains(np.zeros(1, np.int64), len(order), 5 * STRETCH)
     weights, moves = train(shuffled, np.append(0, np.cumsum(size)), y[order], chain_at, chain_n, 1 << BITS, len(names), epochs=3, batch=64)
     return Model(names, weights, moves)
@@ -150,12 +152,17 @@ def fit(docs: DataFrame) -> Model:
     fold = fold.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
     # a share of the hashes, none where there are few rows: numbers of languages, not of documents
     share = F.col("n").cast("double") / SAMPLE_DOCS
-    counts = fold.groupBy("lang").agg(F.count("*").alias("n")).select("lang", F.when(share > 1, F.lit(float(1 << 63)) / share).alias("below"))
+    counts = fold.groupBy("lang").agg(F.count("*").alias("n")).select("lang", F.when(share > 1, F.lit(float(1 << 63)) / share).alias("below")).collect()
+    if not counts:
+        return Model([], np.zeros((1, 1)), np.zeros((1, 1)))
+    counts = F.broadcast(docs.sparkSession.createDataFrame(counts, "lang string, below double"))  # a row for each label that the model will have
     h = F.xxhash64("doc_id", "text", F.lit(9))
     drawn = fold.withColumn("h", h.bitwiseAND(F.lit((1 << 63) - 1))).join(counts, "lang")
     rows = drawn.where(F.col("below").isNull() | (F.col("h") < F.col("below"))).select("h", "text", "lang").collect()
     rows.sort(key=lambda r: (r["h"], r["lang"], r["text"]))
-    return fit_texts([r["text"] for r in rows], [r["lang"] for r in rows])
+    texts, labels = [r["text"] for r in rows], [r["lang"] for r in rows]
+    del rows
+    return fit_texts(texts, labels)
 
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
