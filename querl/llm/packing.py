@@ -41,8 +41,8 @@ DISTRICT = 6000
 """Pieces in a district, about."""
 ISLANDS = 2
 EPOCHS = 3
-GENERATIONS = 30
-POPULATION = 8
+GENERATIONS = 12
+POPULATION = 6
 MOST_TASKS = 2048
 KEEP_FILL = 0.995
 """Bins filled at least so far are final at their level."""
