@@ -27,6 +27,7 @@ from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,8 @@ DISTRICT = 6000
 """Pieces in a district, about."""
 ISLANDS = 2
 EPOCHS = 3
-GENERATIONS = 12
-POPULATION = 6
+GENERATIONS = 30
+POPULATION = 8
 MOST_TASKS = 2048
 KEEP_FILL = 0.995
 """Bins filled at least so far are final at their level."""
@@ -172,23 +173,27 @@ def mutate(bins: list[Bin], capacity: int, rng: random.Random) -> list[Bin]:
 def evolve(lengths: list[int], elite: list[list[Bin]], capacity: int, seed: int, generations: int = GENERATIONS, population: int = POPULATION) -> list[Bin]:
     """The best individual of an island that starts from ``elite``."""
     rng = random.Random(seed)
-    score = partial(fitness, capacity=capacity)
     falling = sorted(lengths, reverse=True)
     least = lower_bound(lengths, capacity)
-    people = list(elite) or [best_fit(falling, capacity)]
+
+    def scored(bins: list[Bin]) -> tuple[tuple[int, float], list[Bin]]:
+        return fitness(bins, capacity), bins  # computed once for each individual
+
+    score = itemgetter(0)
+    people = [scored(x) for x in elite] or [scored(best_fit(falling, capacity))]
     best = max(people, key=score)
-    if -score(best)[0] <= least:
-        return best  # it can't be bettered
+    if -best[0][0] <= least:
+        return best[1]  # it can't be bettered
     while len(people) < population:
         noisy = sorted(falling, key=lambda n: n * rng.uniform(0.85, 1), reverse=True)
-        people.append(best_fit(noisy, capacity))
+        people.append(scored(best_fit(noisy, capacity)))
     for _ in range(generations):
         a, b = rng.sample(people, 2)
-        children = [crossover(a, b, capacity, rng), mutate(max(people, key=score), capacity, rng)]
-        people = sorted(people + children, key=score, reverse=True)[:population]
-        if -score(people[0])[0] <= least:
+        children = [crossover(a[1], b[1], capacity, rng), mutate(max(people, key=score)[1], capacity, rng)]
+        people = sorted(people + [scored(x) for x in children], key=score, reverse=True)[:population]
+        if -people[0][0][0] <= least:
             break
-    return people[0]
+    return people[0][1]
 
 
 def _pack_bins(bins: list[Bin]) -> tuple[bytes, bytes]:
