@@ -7,7 +7,8 @@ sum of its words' posterior probabilities, words without a letter left out; the
 
 Training uses a bounded sample of rows: about SAMPLE_DOCS documents of each language of the training
 fold (all where there are fewer), chosen by a hash of doc_id and text, with their whole texts. Every
-language of the fold is learned. A chain is a whole text when it is predicted.
+language of the fold is learned, in one task, and the driver gets the model only. A chain is a whole
+text when it is predicted.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text when
 nothing can be learned (no labelled text in the training fold). Ties go to the smaller name. Texts of
@@ -31,7 +32,7 @@ from querl.llm.common import flat, narrow, ship, slices
 from querl.llm.crf import chains_at, cut_chains, posteriors, train
 from querl.llm.vec import gram_hashes, mix_own, prefix_sums, ragged, run_hashes, word_bounds
 
-SAMPLE_DOCS = 150
+SAMPLE_DOCS = 300
 BITS = 17
 STRETCH = 12
 """Words from one document at a time in a training chain."""
@@ -146,23 +147,42 @@ def fit_texts(texts: list[str], labels: list[str], seed: int = 9) -> Model:
     return Model(names, weights, moves)
 
 
-def fit(docs: DataFrame) -> Model:
-    """A Model of the bounded sample of the training fold of ``docs`` (doc_id, text, lang)."""
+MODEL = "names array<string>, slots int, weights binary, moves binary"
+
+
+def _fit_sample(table: pa.Table) -> pa.Table:
+    """The model of a sample (h, text, lang) as one row."""
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("h", "lang", "text")), strict=True))
+    model = fit_texts([r[2] for r in rows], [r[1] for r in rows])
+    columns = pa.array([model.names], pa.list_(pa.string())), pa.array([len(model.weights)], pa.int32()), pa.array([model.weights.tobytes()]), pa.array([model.moves.tobytes()])
+    return pa.Table.from_arrays(columns, ["names", "slots", "weights", "moves"])
+
+
+def sample(docs: DataFrame) -> DataFrame | None:
+    """(h, text, lang): the bounded sample of the training fold of ``docs`` (doc_id, text, lang); None where the fold is empty."""
     fold = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     fold = fold.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
     # a share of the hashes, none where there are few rows: numbers of languages, not of documents
     share = F.col("n").cast("double") / SAMPLE_DOCS
     counts = fold.groupBy("lang").agg(F.count("*").alias("n")).select("lang", F.when(share > 1, F.lit(float(1 << 63)) / share).alias("below")).collect()
     if not counts:
-        return Model([], np.zeros((1, 1)), np.zeros((1, 1)))
+        return None
     counts = F.broadcast(docs.sparkSession.createDataFrame(counts, "lang string, below double"))  # a row for each label that the model will have
     h = F.xxhash64("doc_id", "text", F.lit(9))
     drawn = fold.withColumn("h", h.bitwiseAND(F.lit((1 << 63) - 1))).join(counts, "lang")
-    rows = drawn.where(F.col("below").isNull() | (F.col("h") < F.col("below"))).select("h", "text", "lang").collect()
-    rows.sort(key=lambda r: (r["h"], r["lang"], r["text"]))
-    texts, labels = [r["text"] for r in rows], [r["lang"] for r in rows]
-    del rows
-    return fit_texts(texts, labels)
+    return drawn.where(F.col("below").isNull() | (F.col("h") < F.col("below"))).select("h", "text", "lang")
+
+
+def fit(docs: DataFrame) -> Model:
+    """A Model of the bounded sample of the training fold of ``docs``."""
+    ship(docs.sparkSession)
+    drawn = sample(docs)
+    row = None if drawn is None else drawn.groupBy().applyInArrow(lambda t: _fit_sample(t), MODEL).first()  # bounded: one task
+    if row is None or not row["names"]:
+        return Model([], np.zeros((1, 1)), np.zeros((1, 1)))
+    names, slots = list(row["names"]), row["slots"]
+    weights = np.frombuffer(row["weights"], np.float32).reshape(slots, len(names))
+    return Model(names, weights, np.frombuffer(row["moves"], np.float32).reshape(len(names), len(names)))
 
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"

@@ -72,10 +72,9 @@ def test_every_language_and_whole_texts_are_learned(spark):
 
 def test_sample_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(li, "SAMPLE_DOCS", 50)
-    seen = []
-    monkeypatch.setattr(li, "fit_texts", lambda texts, labels: seen.append(labels))
-    li.fit(spark.createDataFrame([(i, f"text {i}", "en" if i % 5 else "de") for i in range(5000)] + [(9000 + i, "x", "fr") for i in range(9)], "doc_id long, text string, lang string"))
-    n = {x: seen[0].count(x) for x in ("en", "de", "fr")}
+    drawn = li.sample(spark.createDataFrame([(i, f"text {i}", "en" if i % 5 else "de") for i in range(5000)] + [(9000 + i, "x", "fr") for i in range(9)], "doc_id long, text string, lang string"))
+    labels = [r["lang"] for r in drawn.collect()]
+    n = {x: labels.count(x) for x in ("en", "de", "fr")}
     assert 25 < n["en"] < 80 and 25 < n["de"] < 80 and 3 < n["fr"] <= 9
 
 
