@@ -140,16 +140,20 @@ def split_join(rows: DataFrame, few: DataFrame, counts: DataFrame, total: int, e
 
     counts: (bucket, c), rows of each bucket, which are ``total`` together. A bucket that holds a large
     share of them is split by id, and its few rows are repeated for each split. At most SHARE buckets
-    come to the driver and are broadcast; a bucket counts as large only where all that is repeated stays
+    come to the driver and become part of the plan; a bucket counts as large only where all that is repeated stays
     below a thirtieth of ``rows``.
     """
-    share = min(SHARE, total // (64 * each))
-    large = counts.where(F.col("c") * share > total).select("bucket", F.ceil(F.col("c") * share / max(total, 1)).cast("int").alias("splits")).collect()
+    share = min(SHARE, total // (128 * each))
+    splits = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("c") * share / max(total, 1)))).cast("int")
+    large = counts.where(F.col("c") * share > total).select(splits.alias("splits"), "bucket").collect()
     if not large:
         return rows.join(few, "bucket")
-    splits = F.broadcast(rows.sparkSession.createDataFrame(large, "bucket long, splits int"))
-    own = rows.join(splits, "bucket", "left").withColumn("split", F.coalesce(F.pmod(F.xxhash64("id"), F.col("splits")).cast("int"), F.lit(0))).drop("splits")
-    repeated = few.join(splits, "bucket", "left").withColumn("split", F.explode(F.sequence(F.lit(0), F.coalesce("splits", F.lit(1)) - 1))).drop("splits")
+    of = F.lit(1)
+    for n in sorted({r["splits"] for r in large}):  # powers of two, so a look into few hash sets; a join would pass all rows on
+        among = ", ".join(f"{r['bucket']}L" for r in large if r["splits"] == n)
+        of = F.when(F.expr(f"bucket IN ({among})"), n).otherwise(of)
+    own = rows.withColumn("split", F.pmod(F.xxhash64("id"), of).cast("int"))
+    repeated = few.withColumn("split", F.explode(F.sequence(F.lit(0), of - 1)))
     return own.join(repeated, ["bucket", "split"]).drop("split")
 
 
