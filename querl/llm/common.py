@@ -26,6 +26,9 @@ SLICE_BYTES = 4 << 20
 BATCH_ROWS, MOST_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 """Rows hold whole texts, so batches of Spark's usual 10,000 rows would take much memory."""
 
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+"""While it is true, an execution's shuffle files are deleted when it ends."""
+
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 _own_root: dict[str, str] = {}
@@ -52,10 +55,18 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` once to the shared folder and reads it back: lineage ends there."""
+    """Writes ``df`` once to the shared folder and reads it back: lineage ends there.
+
+    The table stands in for the shuffles that made it, so their files go once it is written.
+    """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(TIDY, "false")
+    spark.conf.set(TIDY, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(TIDY, before)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
