@@ -44,6 +44,9 @@ LONGEST_RUN = 64
 SHALLOW = 24
 HOT_RUNS = 16
 """An anchor with more distinct runs than this in one block is hot."""
+HOT_BLOCKS = 256
+"""So is an anchor in more blocks than this times as many. Strings of hot anchors travel one by one, over ten times the bytes
+of a run, while a run of each of 4096 blocks is a third of a MB: with fewer, common anchors would be hot in tables of a few GB."""
 BLOCK_BYTES = 4 << 20
 ALONE = 0x80
 """Set in the length of a string sent by itself: it stands for all equal strings of its block, and so does the answer to it."""
@@ -153,7 +156,7 @@ def _answer(key, table: pa.Table, hot_runs: int) -> pa.Table:
     bits = lambda name: np.concatenate([np.unpackbits(np.frombuffer(r[name], np.uint8), count=n) for r, n in zip(rows, sizes, strict=True)])
     uniq, which, count = np.unique(np.concatenate(anchors), return_inverse=True, return_counts=True)
     shared = (count > 1) | (np.bincount(which, weights=bits("twice"), minlength=len(uniq)) > 0)
-    hot = (np.bincount(which, weights=bits("many"), minlength=len(uniq)) > 0) | (count > 64 * hot_runs)
+    hot = (np.bincount(which, weights=bits("many"), minlength=len(uniq)) > 0) | (count > HOT_BLOCKS * hot_runs)
     shared, hot = shared[which], hot[which]
     out, at = [], 0
     for r, n in zip(rows, sizes, strict=True):

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +60,13 @@ def test_against_brute_force(spark, hot):
     assert rows_of(sd.dedup(df, block_bytes=4000, hot_runs=hot)) == brute(rows)
 
 
+@pytest.mark.parametrize(("blocks", "hot"), [(2470, 0), (4097, 1)])
+def test_anchors_of_many_blocks(blocks, hot):
+    rows = [(0, b, np.array([7], "<u4").tobytes(), np.packbits([0]).tobytes(), np.packbits([0]).tobytes()) for b in range(blocks)]
+    answers = sd._answer((pa.scalar(0),), sd._table(rows, sd.REPORT), 16)
+    assert answers.num_rows == blocks and {np.unpackbits(np.frombuffer(x, np.uint8))[0] for x in answers.column("hot").to_pylist()} == {hot}
+
+
 def test_carried_columns_and_texts(spark):
     long = "a passage of more than fifty bytes, with ä and ö in it, repeated"
     df = spark.createDataFrame([(1, long, "n", 3), (2, "ä" + long[1:] + "!", None, 4)], "doc_id long, text string, lang string, n_bytes long").drop("n_bytes")
