@@ -64,15 +64,18 @@ def pack(values: np.ndarray) -> bytes:
     """Non-negative integers in their smallest width, byte planes apart (zero planes compress away)."""
     top = int(values.max()) if len(values) else 0
     width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
-    planes = np.ascontiguousarray(values, f"<u{width}").view(np.uint8).reshape(-1, width).T
-    return bytes([width]) + planes.tobytes()
+    small = np.ascontiguousarray(values, f"<u{width}")
+    return b"".join([bytes([width]), *((small >> small.dtype.type(8 * k)).astype(np.uint8).tobytes() for k in range(width))])
 
 
 def unpack(raw: bytes) -> np.ndarray:
     """The values of pack() as 64-bit integers."""
     width = raw[0]
     planes = np.frombuffer(raw, np.uint8, offset=1).reshape(width, -1)
-    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64)
+    out = planes[0].astype(np.int64)
+    for k in range(1, width):
+        out |= planes[k].astype(np.int64) << (8 * k)
+    return out
 
 
 def _table(rows: list[tuple], schema: str) -> pa.Table:
@@ -82,6 +85,43 @@ def _table(rows: list[tuple], schema: str) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
+# Sorting -----------------------------------------------------------------------------------------
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique(values, return_inverse=True) of non-negative integers.
+
+    Each value's place is written in its lowest bits, shifted up where there is room, and these are sorted: numpy sorts
+    integers many times faster than it sorts their places. Values that differ in those bits alone may come out of order;
+    this is seen, and np.unique is asked.
+    """
+    bits = max(1, len(values).bit_length())
+    keys = np.ascontiguousarray(values).view(np.uint64)
+    low = np.uint64((1 << bits) - 1)
+    room = len(values) > 0 and int(values.max()) < 1 << (64 - bits)
+    keys = (keys << np.uint64(bits) if room else keys & ~low) | np.arange(len(values), dtype=np.uint64)
+    keys.sort()
+    order = (keys & low).view(np.int64)
+    ordered = values[order]
+    if not len(values) or (ordered[1:] < ordered[:-1]).any():
+        return np.unique(values, return_inverse=True)
+    new = np.append(True, ordered[1:] != ordered[:-1])
+    inverse = np.empty(len(values), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return ordered[new], inverse
+
+
+def distinct_pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs of two arrays in order, as two arrays, and which of them each pair is."""
+    wide = int(second.max()) + 1
+    if (int(first.max()) + 1) * wide >= 1 << 63:
+        (a, x), (b, y) = distinct(first), distinct(second)
+        x, y, which = distinct_pairs(x, y)
+        return a[x], b[y], which
+    keys, which = distinct(first * wide + second)
+    return keys // wide, keys % wide, which
+
+
 # Blocks ------------------------------------------------------------------------------------------
 
 PACKED = "block long, ids array<long>, sizes binary, texts binary"
@@ -142,8 +182,8 @@ class Block:
         tokens[inside] = w
         self.out = np.array([held_out(d) for d in self.ids], bool)
         self.train = np.repeat(~self.out, n)
-        words, token = np.unique(tokens, return_inverse=True)
-        order = np.lexsort((words, words % np.uint64(parts)))
+        words, token = distinct(tokens)
+        order = np.argsort(words % np.uint64(parts), kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.words, self.token = words[order], place[token]
@@ -159,10 +199,10 @@ class Block:
         """Distinct (context, word) by (home, context, word); which pair each token is; training counts."""
         before = np.append(self.end, self.token[:-1])
         rank = np.empty(len(self.words), np.int64)
-        rank[np.lexsort((np.arange(len(self.words)), self.home))] = np.arange(len(self.words))
-        key, which = np.unique(rank[before] * len(self.words) + self.token, return_inverse=True)
-        context = np.argsort(rank)[key // len(self.words)]
-        return context, key % len(self.words), which, np.bincount(which[self.train], minlength=len(key))
+        by_home = np.argsort(self.home, kind="stable")
+        rank[by_home] = np.arange(len(self.words))
+        context, word, which = distinct_pairs(rank[before], self.token)
+        return by_home[context], word, which, np.bincount(which[self.train], minlength=len(word))
 
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,10 +242,10 @@ class Words:
         self.blocks = [r["block"] for r in rows]
         lists = [np.cumsum(unpack(r["words"])).view(np.uint64) for r in rows]
         self.sizes = [len(x) for x in lists]
-        self.words, self.which = np.unique(np.concatenate(lists), return_inverse=True)
+        self.words, self.which = distinct(np.concatenate(lists))
         self.counts = np.bincount(self.which, weights=np.concatenate([unpack(r["counts"]) for r in rows]), minlength=len(self.words)).astype(np.int64)
         self.rank = np.empty(len(self.words), np.int64)  # by falling count
-        self.rank[np.lexsort((self.words, -self.counts))] = np.arange(len(self.words))
+        self.rank[np.argsort(-self.counts, kind="stable")] = np.arange(len(self.words))
 
     def answers(self) -> Iterator[tuple[int, np.ndarray]]:
         """Each block and the indices of the words it asked for."""
@@ -291,17 +331,10 @@ class Pairs:
         self.blocks = table.column("block").to_pylist()
         columns = {n: [unpack(x) for x in table.column(n).to_pylist()] for n in ("contexts", "followers", "words", "counts")}
         self.contexts, self.followers = columns["contexts"], columns["followers"]
-        context = np.concatenate([np.repeat(c, f) for c, f in zip(columns["contexts"], columns["followers"], strict=True)])
+        self.names, context = distinct(np.concatenate(self.contexts))
         word, count = (np.concatenate(columns.pop(n)) for n in ("words", "counts"))
-        order = np.lexsort((word, context))
-        new = np.append(True, (np.diff(context[order]) != 0) | (np.diff(word[order]) != 0))
-        group = np.cumsum(new) - 1
-        self.which = np.empty(len(order), np.int64)  # of every pair that was sent
-        self.which[order] = group
-        head = order[new]
-        self.c = np.bincount(group, weights=count[order], minlength=len(head)).astype(np.int64)
-        self.word = word[head]
-        self.names, self.u = np.unique(context[head], return_inverse=True)
+        self.u, self.word, self.which = distinct_pairs(np.repeat(context, np.concatenate(self.followers)), word)  # the latter of every pair that was sent
+        self.c = np.bincount(self.which, weights=count, minlength=len(self.word)).astype(np.int64)
 
     def seated(self, part: int, base: np.ndarray) -> list[np.ndarray]:
         """Samples of the tables of every pair, given the ``base`` probability of each pair's word."""
@@ -367,7 +400,7 @@ def _seat_contexts(key, table: pa.Table, bases: pa.Table, parts: int) -> pa.Tabl
     if not len(table):
         return _table([], SEATED)
     part, p = key[0].as_py(), Pairs(table)
-    words, which = np.unique(p.word, return_inverse=True)
+    words, which = distinct(p.word)
     base = np.zeros(len(words))
     for numbers, levels in zip(bases.column("numbers").to_pylist(), bases.column("levels").to_pylist(), strict=True):
         base[np.searchsorted(words, unpack(numbers))] = 2.0 ** (-unpack(levels) / LEVELS_PER_HALVING)

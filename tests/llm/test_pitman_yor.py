@@ -1,9 +1,11 @@
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from querl.llm import pitman_yor as py
@@ -197,3 +199,40 @@ def test_words_of_equal_polynomials_are_two_words(spark):
     rows = [(d, t) for d, t in enumerate(thue_morse(1024)) if not py.held_out(d)]
     got = py.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     check(rows, got)
+
+
+def test_distinct_is_unique():
+    rng = np.random.default_rng(8)
+    hashes = rng.integers(0, 1 << 64, 300, dtype=np.uint64)
+    near = (np.uint64(0xABC) << np.uint64(52)) + rng.integers(0, 40, 500, dtype=np.uint64)  # these differ in the bits that hold places alone
+    for values in (rng.choice(hashes, 2000), near, rng.integers(0, 50, 999), np.array([(1 << 63) - 1, 0, (1 << 63) - 1]), np.array([7], np.uint64), np.zeros(0, np.int64)):
+        for a, b in zip(py.distinct(values), np.unique(values, return_inverse=True), strict=True):
+            assert (a == b).all() and a.dtype == b.dtype
+
+
+def test_distinct_pairs_of_any_width():
+    rng = np.random.default_rng(9)
+    for most in (30, 1 << 40, (1 << 62) - 1):
+        a, b = (rng.choice(rng.integers(0, most, 20), 3000) for _ in range(2))
+        x, y, which = py.distinct_pairs(a, b)
+        assert list(zip(x.tolist(), y.tolist())) == sorted(set(zip(a.tolist(), b.tolist())))
+        assert (x[which] == a).all() and (y[which] == b).all()
+
+
+def test_pairs_cost_less_than_one_sort_by_two_keys():
+    rng = np.random.default_rng(10)
+    contexts = [np.sort(rng.choice(1 << 20, 2000, replace=False)) for _ in range(10)]
+    followers, ones = py.pack(np.full(2000, 50)), py.pack(np.ones(100_000, np.int64))
+    rows = [{"part": 0, "block": i, "contexts": py.pack(c), "followers": followers, "words": py.pack(rng.integers(0, 1 << 20, 100_000)), "counts": ones} for i, c in enumerate(contexts)]
+    table = pa.Table.from_pylist(rows)
+    keys = np.concatenate([py.unpack(r["words"]) for r in rows]), np.concatenate([np.repeat(c, 50) for c in contexts])
+
+    def least(f):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            f()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert least(lambda: py.Pairs(table)) < 0.7 * least(lambda: np.lexsort(keys))
